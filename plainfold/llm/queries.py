@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import line_dedup
 from .mixing import mixed
+from .pii import KINDS, personal_data, written
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op9_mixing": op9_mixing}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "term")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    return out.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op5_line_dedup": op5_line_dedup, "op9_mixing": op9_mixing, "op10_personal_data": op10_personal_data}
 ORACLE = {
     "op5_line_dedup": r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),

@@ -1,0 +1,61 @@
+import hashlib
+import re
+
+from plainfold.llm.pii import personal_data, redact, spans
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def holds(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        total = sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits)))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 10 <= len(digits) <= 15
+
+
+def brute(text):
+    out = []
+    for order, (kind, pattern) in enumerate(PATTERNS.items()):
+        out += [(m.start(), order, m.end(), kind) for m in re.finditer(pattern, text or "") if holds(kind, m[0])]
+    return sorted(out)
+
+
+TEXTS = [
+    None, "", "a@b.com_c@d.com x@y", "mail bob.smith+x@mail.example.com, é 10.0.0.1 and 300.1.2.3 1.2.3.4.5.6.7.8",
+    "card 4111 1111 1111 1111 or 4111-1111-1111-1112; 12 34", "+1 (415) 555-0199. call +44 20 7946 0958 ((", "+1 2",
+    "x" * 50_000 + "@" + "y" * 30 + ".com", "9" * 30_000, "1 " * 20_000, "a@b" + ".c" * 20_000, "😀 4111111111111111 😀 é@x.y z@x.y",
+    "0000255.1.1.1", "a@b@c.com", "4242424242424242 4242", "+" * 100 + "1234567890", "+12345678901 +12345678901234567",
+]
+
+
+def test_base_spans_equal_brute_force(spark):
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, spans string")
+    got = {r.doc_id: [(s.start, s.order - 1, s.end, s.kind) for s in r.spans if s.kind != "term"] for r in personal_data(rows).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
+
+
+def test_terms_that_always_stand_by_an_entity_are_disclosing(spark):
+    docs = [(i, f"On day{i} the manager Quillfeather wrote from q.f@corp.example.com about the weather {i}") for i in range(5)]
+    docs += [(100 + i, f"the manager wrote from about the weather number {i}") for i in range(200)]
+    docs += [(500, "Quillfeather came back alone"), (None, "Quillfeather"), (501, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: {(s.kind) for s in r.spans} for r in spans(rows).collect()}
+    assert found == {i: {"email", "term"} for i in range(5)} | {500: {"term"}}
+    clean = {r.doc_id: r.text for r in redact(rows).collect()}
+    assert clean[0] == "On day0 the manager  wrote from [EMAIL] about the weather 0"
+    assert clean[500] == " came back alone" and clean[501] is None and clean[100] == docs[5][1]
+
+
+def test_empty_table_and_repeated_rows(spark):
+    assert personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    rows = spark.createDataFrame([(1, "x@y.zz")] * 3 + [(None, "x@y.zz")], "doc_id long, text string")
+    assert [(r.doc_id, len(r.spans)) for r in personal_data(rows).collect()] == [(1, 1)]
+    assert hashlib.sha256(b"").hexdigest()
