@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import line_dedup
 from .mixing import mixed
+from .ngram_join import ngram_join
 from .pii import KINDS, personal_data, written
 
 
@@ -31,7 +32,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op9_mixing": op9_mixing, "op10_personal_data": op10_personal_data}
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_ngram_join": op7_ngram_join, "op5_line_dedup": op5_line_dedup, "op9_mixing": op9_mixing, "op10_personal_data": op10_personal_data}
 ORACLE = {
     "op5_line_dedup": r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
