@@ -144,5 +144,21 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK) -> I
             at = to
 
 
+def packed(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches with the binary column ``text`` compressed, which halves what a shuffle of texts writes. Null: empty."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    for batch in batches:
+        at = batch.schema.get_field_index(text)
+        yield batch.set_column(at, text, pa.array([press.compress(x or b"") for x in batch.column(at).to_pylist()], pa.binary()))
+
+
+def unpacker():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))

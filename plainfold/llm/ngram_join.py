@@ -14,7 +14,7 @@
    many comparisons as it has members. Lists of frequent shingles are dealt out by salt and their hubs linked by a
    list of hubs.
 
-Comparisons are on whole sets of 64-bit shingle hashes. Defined results: null, empty and blank texts have the empty
+Comparisons are on the whole texts of both, by 64-bit shingle hashes. Defined results: null, empty and blank texts have the empty
 set and link with nothing; under five words, the whole sequence is the one shingle; a repeated id counts once and rows
 without id take no part (``one_per_id``); an empty table gives an empty result. Other columns aren't read.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, one_per_id, save, shingles, signed, work
+from .common import chunks, mix, one_per_id, packed, save, shingles, signed, unpacker, work
 from .components import components
 
 CELLS = 1 << 18
@@ -83,54 +83,54 @@ def _sums(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return sums[start + size] - sums[start]
 
 
-def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, shingles: the whole set."""
-    for rows, buf, offs in chunks(batches, "text"):
-        doc, h = shingles(buf, offs, k)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        size = np.bincount(doc[new], minlength=rows.num_rows)
-        lists = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-        yield pa.record_batch({"doc_id": rows.column("doc_id"), "shingles": pa.ListArray.from_arrays(lists, signed(h[new]))})
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id: those whose key others have too (or that are dealt out by salt), with the hub, the
-    first row of the key. Holds one row between batches, however long a list is."""
-    names, held, hub, last = ["key", "token", "salts", "id", "size", "place"], None, None, None
+    """Rows sorted by token, part and id: those whose list has others too (or is dealt out by salt), with the hub, the
+    first row of the list. Holds one row between batches, however long a list is."""
+    names, held, hub, last = ["token", "id", "meta"], None, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         col = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
         if held is not None:
-            col = {c: np.concatenate([[held[c]], col[c]]).astype(col[c].dtype) for c in names}
-        key = col["key"]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        h_id, h_size, count = col["id"][first], col["size"][first], np.diff(np.append(first, len(key)))
-        goes_on = held is None and last is not None and key[0] == last
-        if goes_on:
-            h_id[0], h_size[0] = hub
+            col = {c: np.concatenate([[held[c]], col[c]]) for c in names}
+        token, part = col["token"], col["meta"] & (PARTS - 1)
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])]))
+        count = np.diff(np.append(first, len(token)))
+        of = np.repeat(np.arange(len(first)), count)
+        h_id, h_meta = col["id"][first], col["meta"][first]
+        if held is None and last == (token[0], part[0]):
+            h_id[0], h_meta[0] = hub
             count[0] += 1
-        out = (count[of] > 1) | (col["salts"] > 1)
-        last, hub = key[-1], (h_id[-1], h_size[-1])
-        held = None
-        if not out[-1]:  # a list of one row so far: it may go on
-            held = {c: col[c][-1] for c in names}
-        yield _listed(col, out, h_id[of], h_size[of])
+        out = (count[of] > 1) | (part > 0)
+        last, hub = (token[-1], part[-1]), (h_id[-1], h_meta[-1])
+        held = None if out[-1] else {c: col[c][-1] for c in names}  # a list of one row so far: it may go on
+        yield pa.record_batch({c: pa.array(x[out]) for c, x in {**col, "hub": h_id[of], "hub_meta": h_meta[of]}.items()})
+
+
+# size, place (in the prefix, from 1; 0: a subset; a place too far to tell counts as sooner, which is safe) and part (0: not
+# dealt out) of a row, in one number: 31, 20 and 12 bits.
+PARTS, PLACES = 1 << 12, 1 << 20
 
 
-def _listed(col: dict, on: np.ndarray, hub: np.ndarray, hub_size: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({c: pa.array(x[on]) for c, x in {"token": col["token"], "salts": col["salts"], "id": col["id"], "size": col["size"], "place": col["place"], "hub": hub, "hub_size": hub_size}.items()})
+def _meta(size: Column, place: Column, id_: Column, salt: Column) -> Column:
+    part = F.when(salt > 1, 1 + F.pmod(F.xxhash64(id_), F.least(salt, F.lit(PARTS - 1)))).otherwise(0)
+    return (size * (PARTS * PLACES) + F.least(place, F.lit(PLACES - 1)) * PARTS + part).cast("long")
 
 
-LISTED = "token long, salts int, id long, size long, place int, hub long, hub_size long"
+def _size(meta: str) -> Column:
+    return F.shiftright(meta, 32)
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _place(meta: str) -> Column:
+    return F.shiftright(meta, 12).bitwiseAND(F.lit(PLACES - 1))
+
+
+def _room(a: str, b: str, percent: int) -> Column:
+    """Whether a and b, if this is the first shingle that they share, have enough left to link."""
+    na, nb = _size(a), _size(b)
+    need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
+    left = (_place(a) == 0) | (_place(b) == 0) | ((na - _place(a) + 1 >= need) & (nb - _place(b) + 1 >= need))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & left
 
 
 def boundary(sets: DataFrame, percent: int) -> int:
@@ -149,31 +149,51 @@ def boundary(sets: DataFrame, percent: int) -> int:
 
 
 def _postings(sets: DataFrame, limit: int, percent: int) -> DataFrame:
-    """key, token, salts, id, size, place (in the prefix; -1: a subset)."""
+    """token, id, meta."""
     p = F.col("size") - F.ceil(percent * F.col("size") / 100).cast("long")
-    token, salt = F.col("at.token"), F.col("at.salt")
-    heavy = (
-        sets.where((F.col("size") >= SMALLEST) & (100 * F.col("size") > percent * limit))
-        .select("id", "size", F.posexplode(F.slice(F.arrays_zip(F.col("prefix").alias("token"), F.col("salts").alias("salt")), F.lit(1), (p + 1).cast("int"))).alias("place", "at"))
-        .select(F.when(salt > 1, F.xxhash64(token, F.pmod(F.xxhash64("id"), salt))).otherwise(token).alias("key"), token.alias("token"), salt.alias("salts"), "id", "size", "place")
-    )
+    token, salt, id_, size = F.col("at.token"), F.col("at.salt"), F.col("id"), F.col("size")
+    zipped = F.arrays_zip(F.col("prefix").alias("token"), F.col("salts").alias("salt"))
+    heavy = sets.where((size >= SMALLEST) & (100 * size > percent * limit)).select("id", "size", F.posexplode(F.slice(zipped, F.lit(1), (p + 1).cast("int"))).alias("place", "at"))
+    heavy = heavy.select(token.alias("token"), "id", _meta(size, F.col("place") + 1, id_, salt).alias("meta"))
     if not limit:
         return heavy
-    zipped = F.arrays_zip(F.col("prefix").alias("token"), F.col("salts").alias("salt"))
     subset = lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), F.least(x["salt"], y["salt"]).alias("salt"))
     pairs = F.flatten(F.transform(zipped, lambda x, i: F.transform(F.slice(zipped, i + 2, F.size("prefix")), lambda y: subset(x, y))))
-    light = sets.where(F.col("size").between(SMALLEST, limit)).select("id", "size", F.explode(pairs).alias("at"))
-    light = light.select(F.when(salt > 1, F.xxhash64(token, F.pmod(F.xxhash64("id"), salt))).otherwise(token).alias("key"), token.alias("token"), salt.alias("salts"), "id", "size", F.lit(-1).alias("place"))
-    return heavy.unionByName(light)
+    light = sets.where(size.between(SMALLEST, limit)).select("id", "size", F.explode(pairs).alias("at"))
+    return heavy.unionByName(light.select(token.alias("token"), "id", _meta(size, F.lit(0), id_, salt).alias("meta")))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, their texts ta and tb, packed) that reach the threshold."""
+    unpack, kept, room = unpacker(), {}, 0
+
+    def shingled(id_: int, text: bytes) -> np.ndarray:
+        nonlocal room
+        if id_ not in kept:
+            if room > 1 << 24:
+                kept.clear()
+                room = 0
+            buf = np.frombuffer(unpack(text), np.uint8)
+            kept[id_] = np.unique(shingles(buf, np.array([0, len(buf)]), k)[1])
+            room += kept[id_].nbytes
+        return kept[id_]
+
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        on = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            sx, sy = shingled(x, batch.column("ta")[i].as_py()), shingled(y, batch.column("tb")[i].as_py())
+            n = len(np.intersect1d(sx, sy, assume_unique=True))
+            on[i] = 100 * n >= percent * (len(sx) + len(sy) - n)
+        yield pa.record_batch({"a": pa.array(np.array(a, np.int64)[on]), "b": pa.array(np.array(b, np.int64)[on])})
 
 
-def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold."""
-    left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    return both.mapInArrow(lambda x: _compare(x, k, percent), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -188,25 +208,25 @@ def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int =
     rows = docs.mapInArrow(lambda b: _sets(b, counts, k, percent), "doc_id long, size long, f1 long, f2 long, prefix array<long>, salts array<int>")
     rows = save(rows, at, "sets")
     classes = save(rows.where("size > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), at, "classes")
-    sets = rows.where(f"size >= {SMALLEST}").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = save(sets.select(F.col("doc_id").alias("id"), "size", "prefix", "salts"), at, "distinct")
-
-    listed = _postings(sets, boundary(sets, percent), percent).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_lists, LISTED)
-    listed = save(listed, at, "lists")
-    full = docs.join(listed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    full = save(full.mapInArrow(lambda b: _full(b, k), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id"), at, "full")
-
-    hubs = listed.where("salts > 1").select("token", F.col("hub").alias("id"), F.col("hub_size").alias("size")).distinct()
-    tops = hubs.groupBy("token").agg(F.min(F.struct("id", "size")).alias("top"))
-    pairs = listed.select(F.col("hub").alias("a"), F.col("hub_size").alias("na"), F.col("id").alias("b"), F.col("size").alias("nb"))
-    pairs = pairs.unionByName(hubs.join(tops, "token").select(F.col("top.id").alias("a"), F.col("top.size").alias("na"), F.col("id").alias("b"), F.col("size").alias("nb")))
-    tried = save(pairs.where(F.col("a") != F.col("b")).where(_fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), at, "tried0")
-    links = save(_links(tried, full, percent), at, "links0")
+    sets = rows.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    listed = _postings(sets, boundary(rows, percent), percent)
+    part = F.col("meta").bitwiseAND(F.lit(PARTS - 1))
+    listed = listed.repartition("token", part).sortWithinPartitions("token", part, "id")
+    listed = save(listed.mapInArrow(_lists, "token long, id long, meta long, hub long, hub_meta long"), at, "lists")
+    texts = docs.mapInArrow(packed, docs.schema).withColumnRenamed("doc_id", "id")
+    texts = save(texts.join(listed.select("id").distinct(), "id", "left_semi"), at, "texts")
+
+    hubs = listed.where(part > 0).select("token", F.col("hub").alias("id"), F.col("hub_meta").alias("meta")).distinct()
+    tops = hubs.groupBy("token").agg(F.min(F.struct("id", "meta")).alias("top"))
+    pairs = listed.select(F.col("hub").alias("a"), F.col("hub_meta").alias("ma"), F.col("id").alias("b"), F.col("meta").alias("mb"))
+    pairs = pairs.unionByName(hubs.join(tops, "token").select(F.col("top.id").alias("a"), F.col("top.meta").alias("ma"), F.col("id").alias("b"), F.col("meta").alias("mb")))
+    tried = save(pairs.where(F.col("a") != F.col("b")).where(_room("ma", "mb", percent)).select("a", "b").distinct(), at, "tried0")
+    links = save(_links(tried, texts, k, percent), at, "links0")
     label = components(links, at, "part0")
 
     for step in range(1, rounds + 1):
         # Lists that span several components, and in them the pairs that may still link.
-        now = listed.select("token", "id", "size", "place").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        now = listed.select("token", "id", "meta").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
         now = save(now.join(mixed, "token", "left_semi"), at, f"open{step}")
         each = now.groupBy("token", "label").count()
@@ -214,24 +234,21 @@ def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int =
         size = cross.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
         if not size["rows"]:
             break
-        a, b = now.alias("a"), now.alias("b")
         if step < rounds and size["pairs"] > 8 * size["rows"]:
-            # Each component's set against one other set of the list, another one in each round.
-            turn = F.struct(F.xxhash64("id", F.lit(step)).alias("turn"), "id", "size", "label")
-            pick = now.groupBy("token").agg(F.min(turn).alias("hub"))
+            # The sets of a list against one of them, another one in each round, where their components differ.
+            pick = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("turn"), "id", "meta", "label")).alias("hub"))
             pairs = now.join(pick, "token").where(F.col("label") != F.col("hub.label"))
-            pairs = pairs.select(F.col("hub.id").alias("x"), F.col("hub.size").alias("nx"), F.col("id").alias("y"), F.col("size").alias("ny"))
+            pairs = pairs.select(F.col("hub.id").alias("x"), F.col("hub.meta").alias("mx"), F.col("id").alias("y"), F.col("meta").alias("my"))
+            pairs = pairs.where(_room("mx", "my", percent))
         else:
             step = rounds
-            na, nb = F.col("a.size"), F.col("b.size")
-            need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
+            a, b = now.alias("a"), now.alias("b")
             here = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label"))
-            room = (F.col("a.place") < 0) | (F.col("b.place") < 0) | ((na - F.col("a.place") >= need) & (nb - F.col("b.place") >= need))
-            pairs = a.join(b, here & _fits(na, nb, percent) & room).select(F.col("a.id").alias("x"), na.alias("nx"), F.col("b.id").alias("y"), nb.alias("ny"))
-        pairs = pairs.where(_fits(F.col("nx"), F.col("ny"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = a.join(b, here & _room("a.meta", "b.meta", percent)).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = save(pairs.join(tried, ["a", "b"], "left_anti"), at, f"tried{step}")
         tried = tried.unionByName(new)
-        links = links.unionByName(save(_links(new, full, percent), at, f"links{step}"))
+        links = links.unionByName(save(_links(new, texts, k, percent), at, f"links{step}"))
         label = components(links, at, f"part{step}")
         if step == rounds:
             break
