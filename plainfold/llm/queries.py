@@ -10,6 +10,8 @@ from .line_dedup import line_dedup
 from .mixing import mixed
 from .ngram_join import ngram_join
 from .pii import KINDS, personal_data, written
+from .suffix_dedup import suffix_dedup
+from .topk import top_k
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +38,23 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_ngram_join": op7_ngram_join, "op5_line_dedup": op5_line_dedup, "op9_mixing": op9_mixing, "op10_personal_data": op10_personal_data}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op4_top_k": op4_top_k, "op8_suffix_dedup": op8_suffix_dedup, "op7_ngram_join": op7_ngram_join, "op5_line_dedup": op5_line_dedup, "op9_mixing": op9_mixing, "op10_personal_data": op10_personal_data}
 ORACLE = {
+    "op4_top_k": """
+with v as (select vec_id, embedding from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+w as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) x from v),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint score from w q join w c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, rank::integer rank, vec_id, score from r where rank <= 5""",
     "op5_line_dedup": r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
 k as (select doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from l),
