@@ -11,7 +11,7 @@
 4. A list isn't joined with itself. Each of its sets is compared with the list's hub (smallest id); links that hold are
    merged into components, and only lists that still span several components are gone through again: with other hubs,
    then all pairs of different components. Sets of one component need no comparison, so a group of copies costs as
-   many comparisons as it has members. Lists of frequent shingles are dealt out by salt and their hubs linked by a
+   many comparisons as it has members. Of other pairs, sizes, places and 512 parity bits a set tell most apart. Lists of frequent shingles are dealt out by salt and their hubs linked by a
    list of hubs.
 
 Comparisons are on the whole texts of both, by 64-bit shingle hashes. Defined results: null, empty and blank texts have the empty
@@ -34,6 +34,7 @@ from .components import components
 CELLS = 1 << 18
 SALT = 1000  #: sets that a list may have before it is dealt out
 SMALLEST = 4  #: sets below this size link only with equal ones, at a threshold of 80
+LONG = 64  #: members of a list from which its pairs are looked up in the lists that both stand in
 LARGEST_SMALL = 200  #: no set above this size is ever small: its subsets would outnumber any list
 
 
@@ -51,7 +52,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches: Iterator[pa.RecordBatch], counts, k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, size, f1, f2, prefix, salts: prefix long enough for two shared shingles."""
+    """doc_id, size, f1, f2, s0 to s7, prefix, salts. The 512 bits of s0 to s7 tell whether an even or odd number of
+    shingles fall on each; prefix is long enough for two shared shingles."""
     n = counts.value
     load = int(n.sum()) // CELLS
     for rows, buf, offs in chunks(batches, "text"):
@@ -64,6 +66,8 @@ def _sets(batches: Iterator[pa.RecordBatch], counts, k: int, percent: int) -> It
         size = np.bincount(doc, minlength=rows.num_rows)
         start = np.cumsum(size) - size
         f1, f2 = (_sums(mix(h ^ np.uint64(x)), start, size) for x in (0x1234567, 0x89ABCDEF01))
+        odd = np.bincount(doc * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * len(size)) & 1
+        odd = np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
         freq = n[(h >> np.uint64(46)).astype(np.int64)]
         order = np.lexsort((h, freq, doc))
         long = np.minimum(size, size - _need(size, percent) + 2)
@@ -74,6 +78,7 @@ def _sets(batches: Iterator[pa.RecordBatch], counts, k: int, percent: int) -> It
         salts = np.maximum(1, (freq[take] - load) // SALT + 1).astype(np.int32)
         yield pa.record_batch({
             "doc_id": rows.column("doc_id"), "size": pa.array(size.astype(np.int64)), "f1": signed(f1), "f2": signed(f2),
+            **{f"s{i}": pa.array(np.ascontiguousarray(odd[:, i])) for i in range(8)},
             "prefix": pa.ListArray.from_arrays(lists, signed(h[take])), "salts": pa.ListArray.from_arrays(lists, pa.array(salts)),
         })
 
@@ -83,6 +88,18 @@ def _sums(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return sums[start + size] - sums[start]
 
 
+ODD = [f"s{i}" for i in range(8)]
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether a and b may link by size and bits: these differ in as many places as the sets do, at most."""
+    na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    differ = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0")))
+    for c in ODD[1:]:
+        differ = differ + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return differ <= na + nb - 2 * F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token, part and id: those whose list has others too (or is dealt out by salt), with the hub, the
     first row of the list. Holds one row between batches, however long a list is."""
@@ -125,12 +142,16 @@ def _place(meta: str) -> Column:
     return F.shiftright(meta, 12).bitwiseAND(F.lit(PLACES - 1))
 
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(_size(a), _size(b)) >= percent * F.greatest(_size(a), _size(b))
+
+
 def _room(a: str, b: str, percent: int) -> Column:
     """Whether a and b, if this is the first shingle that they share, have enough left to link."""
     na, nb = _size(a), _size(b)
     need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
     left = (_place(a) == 0) | (_place(b) == 0) | ((na - _place(a) + 1 >= need) & (nb - _place(b) + 1 >= need))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & left
+    return _fits(a, b, percent) & left
 
 
 def boundary(sets: DataFrame, percent: int) -> int:
@@ -188,8 +209,10 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield pa.record_batch({"a": pa.array(np.array(a, np.int64)[on]), "b": pa.array(np.array(b, np.int64)[on])})
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, bits: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold."""
+    x, y = bits.alias("x").hint("merge"), bits.alias("y").hint("merge")
+    pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _near("x", "y", percent)).select("a", "b")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
@@ -205,8 +228,9 @@ def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int =
     counts = np.zeros(CELLS, np.int64)
     counts[cells["cell"].to_numpy(int)] = cells["n"].to_numpy(int)
     counts = spark.sparkContext.broadcast(counts)  # CELLS numbers, whatever the input
-    rows = docs.mapInArrow(lambda b: _sets(b, counts, k, percent), "doc_id long, size long, f1 long, f2 long, prefix array<long>, salts array<int>")
+    rows = docs.mapInArrow(lambda b: _sets(b, counts, k, percent), f"doc_id long, size long, f1 long, f2 long, {', '.join(f'{c} long' for c in ODD)}, prefix array<long>, salts array<int>")
     rows = save(rows, at, "sets")
+    bits = rows.select(F.col("doc_id").alias("id"), "size", *ODD)
     classes = save(rows.where("size > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), at, "classes")
     sets = rows.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
     listed = _postings(sets, boundary(rows, percent), percent)
@@ -220,8 +244,8 @@ def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int =
     tops = hubs.groupBy("token").agg(F.min(F.struct("id", "meta")).alias("top"))
     pairs = listed.select(F.col("hub").alias("a"), F.col("hub_meta").alias("ma"), F.col("id").alias("b"), F.col("meta").alias("mb"))
     pairs = pairs.unionByName(hubs.join(tops, "token").select(F.col("top.id").alias("a"), F.col("top.meta").alias("ma"), F.col("id").alias("b"), F.col("meta").alias("mb")))
-    tried = save(pairs.where(F.col("a") != F.col("b")).where(_room("ma", "mb", percent)).select("a", "b").distinct(), at, "tried0")
-    links = save(_links(tried, texts, k, percent), at, "links0")
+    tried = save(pairs.where(F.col("a") != F.col("b")).where(_fits("ma", "mb", percent)).select("a", "b").distinct(), at, "tried0")
+    links = save(_links(tried, bits, texts, k, percent), at, "links0")
     label = components(links, at, "part0")
 
     for step in range(1, rounds + 1):
@@ -239,16 +263,27 @@ def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int =
             pick = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("turn"), "id", "meta", "label")).alias("hub"))
             pairs = now.join(pick, "token").where(F.col("label") != F.col("hub.label"))
             pairs = pairs.select(F.col("hub.id").alias("x"), F.col("hub.meta").alias("mx"), F.col("id").alias("y"), F.col("meta").alias("my"))
-            pairs = pairs.where(_room("mx", "my", percent))
+            pairs = pairs.where(_fits("mx", "my", percent))
         else:
             step = rounds
-            a, b = now.alias("a"), now.alias("b")
-            here = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label"))
-            pairs = a.join(b, here & _room("a.meta", "b.meta", percent)).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+            # Pairs of a list whose components differ: each has one outside the list's largest component at least.
+            main = each.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"))
+            now = save(now.join(main, "token").join(bits, "id"), at, "pairing")
+            # A pair of a long list is taken where its first shared list is this one, by the list order of the smaller id.
+            shared = now.join(now.where(F.col("members") > LONG).select("id").distinct(), "id", "left_semi")
+            shared = shared.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(_place("meta").alias("place"), "token"))), lambda x: x["token"]).alias("lists"))
+            now = now.join(shared, "id", "left").withColumn("lists", F.when(F.col("members") > LONG, F.col("lists")))
+            a, b = now.where("label != main").alias("a"), now.alias("b")
+            here = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label"))
+            once = (F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
+            ours = F.when(F.col("a.id") < F.col("b.id"), F.array_intersect("a.lists", "b.lists")).otherwise(F.array_intersect("b.lists", "a.lists"))
+            first = F.col("a.lists").isNull() | (F.get(ours, 0) == F.col("a.token"))
+            pairs = a.join(b.hint("merge"), here & once & _room("a.meta", "b.meta", percent) & _near("a", "b", percent) & first)
+            pairs = pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = save(pairs.join(tried, ["a", "b"], "left_anti"), at, f"tried{step}")
         tried = tried.unionByName(new)
-        links = links.unionByName(save(_links(new, texts, k, percent), at, f"links{step}"))
+        links = links.unionByName(save(_links(new, bits, texts, k, percent), at, f"links{step}"))
         label = components(links, at, f"part{step}")
         if step == rounds:
             break

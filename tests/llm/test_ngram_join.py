@@ -51,11 +51,12 @@ def corpus(seed):
     return list(enumerate(docs)) + [(None, "a b c d e"), (3, docs[3])]
 
 
-@pytest.mark.parametrize("seed, salt", [(1, 1000), (2, 2)])
-def test_equals_brute_force(spark, monkeypatch, seed, salt):
+@pytest.mark.parametrize("seed, long, rounds", [(1, 64, 3), (2, 0, 3), (3, 2, 1), (4, 64, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, long, rounds):
     docs = corpus(seed)
+    monkeypatch.setattr(op, "LONG", long)
     rows = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, size int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(rows).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(rows, rounds=rounds).collect()}
     assert got == brute(docs)
 
 
