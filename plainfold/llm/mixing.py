@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
         "all": F.sum("source_size").over(W.partitionBy()),
     })
     level = (F.col("all") - F.col("before")) / F.col("open")
-    rows = rows.withColumn("level", F.min(F.when(level <= F.col("full"), level)).over(W.partitionBy()))
+    rows = rows.withColumn("level", F.max(F.when(level <= F.col("full"), level)).over(W.partitionBy()))
     target = F.least(F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)), (most * F.col("source_size")).cast("double"))
     return rows.select("source", "rank", "source_size", "n", "weight", target.alias("target"), F.floor(target + 0.5).alias("quota"))
 
@@ -50,7 +50,7 @@ def schedule(sources: DataFrame, block: int, k: int) -> DataFrame:
     """rank (of the source), slot (of the source, from 0), step, low, high: the words of the source's round stream
     that the slot takes."""
     before = F.coalesce(F.sum("quota").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    total = F.sum("quota").over(W.partitionBy()).cast("double")
+    total = F.greatest(F.sum("quota").over(W.partitionBy()), F.lit(1)).cast("double")  # nothing to take: no stretch
     n = float(1 << k)
     stretch = sources.select("rank", "quota", F.ceil(before / total * n).alias("a"), F.least(F.ceil((before + F.col("quota")) / total * n), F.lit(int(n))).alias("b"))
     runs = stretch.where("b > a").select("rank", "quota", "a", "b", F.explode(F.expr(f"sequence(a div {RUN}, (b - 1) div {RUN})")).alias("run"))

@@ -101,7 +101,7 @@ w as (select *, (rank - 1) % 3 + 1 weight from s),
 f as (select *, 3 * source_size / weight::double "full" from w),
 c as (select *, 3 * coalesce(sum(source_size) over (order by "full", rank rows between unbounded preceding and 1 preceding), 0) before,
   sum(weight) over (order by "full", rank rows between current row and unbounded following) open, sum(source_size) over () total from f),
-v as (select *, min(case when (total - before)::double / open <= "full" then (total - before)::double / open end) over () level from c),
+v as (select *, max(case when (total - before)::double / open <= "full" then (total - before)::double / open end) over () level from c),
 t as (select source, source_size, least(coalesce(level * weight, 0), 3.0::double * source_size) target from v),
 q as (select *, floor(target + 0.5)::bigint quota from t),
 p as (select d.doc_id, d.size, q.source_size, q.target, q.quota, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint a
