@@ -104,19 +104,27 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int,
         .where(F.col("copies") >= support)
     )
     pairs = save(pairs, at, "pairs")
+    held = _holding(docs, pairs.select("term"))
+    if held is None:
+        return None
+    n = docs.count()
+    known = F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e"))
+    often = held.groupBy("term").agg(F.count("*").alias("n_t"))
+    told = pairs.join(often, "term").where(known >= disclosure * F.log2(F.lit(n) / F.col("n_e")))
+    told = save(told.select("term").distinct(), at, "told")
+    held = _holding(docs, told)
+    return None if held is None else save(held.join(told, "term", "left_semi").select("doc_id", "term"), at, "held")
+
+
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame | None:
+    """doc_id, term: once for each document and term of ``terms`` that it holds, and a few terms more, which share their
+    place in the filter. None where there are no terms."""
     slot = F.pmod(F.xxhash64("term"), F.lit(BITS))
-    bits = {r[0] for r in pairs.select(slot.alias("slot")).distinct().collect()}  # at most BITS of them
+    bits = {r[0] for r in terms.select(slot.alias("slot")).distinct().collect()}  # at most BITS of them
     if not bits:
         return None
     allowed = F.split(F.lit(",".join("1" if i in bits else "0" for i in range(BITS))), ",")
-    seen = docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term")).where(F.get(allowed, slot.cast("int")) == "1")
-    seen = save(seen.join(pairs.select("term").distinct(), "term"), at, "seen")
-    n = docs.count()
-    known = F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e"))
-    told = pairs.join(seen.groupBy("term").agg(F.count("*").alias("n_t")), "term").where(known >= disclosure * F.log2(F.lit(n) / F.col("n_e")))
-    told = told.select("term").distinct()
-    out = save(seen.join(told, "term", "left_semi").select("doc_id", "term"), at, "told")
-    return None if out.isEmpty() else out
+    return docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term")).where(F.get(allowed, slot.cast("int")) == "1")
 
 
 def term_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
