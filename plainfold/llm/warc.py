@@ -8,7 +8,7 @@ never by looking for the next header. From these the converter makes what WARC a
 of block and payload. Records whose payloads are equal and have at least ``least`` bytes are written once, as the
 response with the smallest id; the others become revisits that refer to it.
 
-Archives are files of WARC records one after another, written by Spark's text writer and read by its binaryFile reader,
+Archives are files of WARC records one after another, compressed by gzip, written by Spark's text writer and read by its binaryFile reader,
 so that both work on any store Spark reaches. Records are read by their Content-Length.
 
 Defined results: a null payload is empty; a null URL becomes ``unknown:``; repeated ids count once and rows without id
@@ -17,6 +17,7 @@ take no part (``one_per_id``); an empty table makes no archive and an empty resu
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -149,7 +150,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("content"):
             rows = []
-            for head, block in parse_warc(data.as_py()):
+            for head, block in parse_warc(gzip.decompress(data.as_py())):
                 digest = head["warc-payload-digest"].removeprefix("sha256:")
                 if head["warc-type"] == "response" and hashlib.sha256(payload := split_http(block)[1]).hexdigest() != digest or hashlib.sha256(block).hexdigest() != head["warc-block-digest"].removeprefix("sha256:"):
                     raise ValueError(f"digest of {head['warc-record-id']}")
@@ -169,7 +170,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 100, records: in
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     revisits = digests.join(first, "digest").where("page_id != refers_to").select("page_id", "refers_to")
     rows = pages.join(revisits, "page_id", "left").mapInArrow(_convert, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records).text(path)
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def read_archives(df_session, path: str) -> DataFrame:
