@@ -8,8 +8,8 @@ never by looking for the next header. From these the converter makes what WARC a
 of block and payload. Records whose payloads are equal and have at least ``least`` bytes are written once, as the
 response with the smallest id; the others become revisits that refer to it.
 
-Archives are files of WARC records one after another, compressed by gzip, written by Spark's text writer and read by its binaryFile reader,
-so that both work on any store Spark reaches. Records are read by their Content-Length.
+Archives are files of WARC records one after another, compressed by gzip, written by Spark's text
+writer and read by its binaryFile reader, so that both work on any store Spark reaches. Records are read by their Content-Length.
 
 Defined results: a null payload is empty; a null URL becomes ``unknown:``; repeated ids count once and rows without id
 take no part (``one_per_id``); an empty table makes no archive and an empty result. Other columns aren't read.
@@ -68,9 +68,11 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return head + b"\r\n\r\n", payload
 
 
-def record_id(row: int, url: str) -> str:
-    """A UUID of version 8: the 64 bits of ``row`` around version and variant, the rest from the URL."""
-    h, tail = f"{row & (1 << 64) - 1:016x}", hashlib.sha256(url.encode("utf-8", "surrogateescape")).hexdigest()
+def record_id(row: int) -> str:
+    """A UUID of version 8: the 64 bits of ``row`` around version and variant, the rest a hash of them, so that a revisit
+    can name the response's record by the response's row."""
+    h = f"{row & (1 << 64) - 1:016x}"
+    tail = hashlib.sha256(h.encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-8{h[12:15]}-8{h[15]}{tail[:2]}-{tail[2:14]}>"
 
 
@@ -80,18 +82,18 @@ def row_of(id_: str) -> int:
     return row - (1 << 64) if row >> 63 else row
 
 
-def warc_record(row: int, head: dict, block: bytes, refers_to: int | None, refers_url: str | None) -> bytes:
+def warc_record(row: int, head: dict, block: bytes, refers_to: int | None) -> bytes:
     """The WARC record of a parsed ARC record: a response, or a revisit where ``refers_to`` names the response."""
     http, payload = split_http(block)
     digest = hashlib.sha256(payload).hexdigest()
     d = head["date"].ljust(14, "0")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(row, head['url'])}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(row)}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {head['url']}", f"WARC-IP-Address: {head['ip']}",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url or '')}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
         block = http
     lines += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return CRLF.join(x.encode("utf-8", "surrogateescape") for x in lines) + CRLF + CRLF + block + CRLF + CRLF
@@ -142,7 +144,7 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             data, version = legacy(row, url, html or b"")
             for head, block in parse_arc(data, version):
-                out.append(warc_record(row, head, block, refers_to, head["url"])[:-2])  # the writer ends the record
+                out.append(warc_record(row, head, block, refers_to)[:-2])  # the writer ends the record
         yield pa.record_batch({"record": pa.array(out, pa.binary())})
 
 

@@ -18,7 +18,7 @@ def test_both_versions_are_parsed_by_declared_length():
 
 def test_record_ids_hold_the_row():
     for row in (0, 1, -1, 2**63 - 1, -(2**63), 12345):
-        id_ = warc.record_id(row, "http://é/")
+        id_ = warc.record_id(row)
         assert warc.row_of(id_) == row and len(id_) == len("<urn:uuid:>") + 36
 
 
