@@ -38,7 +38,7 @@ WHERE l.l_quantity > 10 GROUP BY c.c_mktsegment ORDER BY revenue DESC, segment L
 #: name: the dialect's text, DuckDB's text or None for the same.
 SQL: dict[str, tuple[str, str | None]] = {
     "flagship": (FLAGSHIP, None),
-    "filter_project": ("SELECT p_partkey, p_name, p_size * 2 AS twice FROM part WHERE p_size > 25 AND NOT p_brand = 'Brand#11' OR p_retailprice < 905", None),
+    "filter_project": ("SELECT p_partkey, p_name, p_size * 2 AS twice FROM part WHERE p_size > 25 AND NOT p_brand = 'Brand#11' OR p_retailprice < 905", "SELECT p_partkey, p_name, (p_size * 2)::bigint AS twice FROM part WHERE p_size > 25 AND NOT p_brand = 'Brand#11' OR p_retailprice < 905"),
     "comparisons": ("SELECT p_partkey AS k FROM part WHERE p_size <> 7 AND p_size >= 5 AND p_size <= 40 AND p_retailprice < 1500", None),
     "between_in_list": ("SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_orderstatus IN ('O', 'F') AND o_orderpriority NOT IN ('1-URGENT')", None),
     "like_prefix": ("SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'st%' OR p_name LIKE '%A%'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'st%' OR p_name ILIKE '%A%'"),
@@ -86,7 +86,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "agg_over_join": ("SELECT n.n_name, COUNT(*) AS n, ROUND(SUM(c.c_acctbal), 2) AS total FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", None),
     "count_distinct": ("SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag", None),
     "distinct_count_subquery": ("SELECT COUNT(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL) x", None),
-    "window_superset": ("SELECT s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier", None),
+    "window_superset": ("SELECT s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier", "SELECT s_suppkey, (RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC))::integer AS r FROM supplier"),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
     "union_distinct": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
@@ -95,10 +95,11 @@ SQL: dict[str, tuple[str, str | None]] = {
     "cte": ("WITH big AS (SELECT o_custkey AS k, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT k FROM big WHERE t > 1000000) SELECT c_name FROM customer JOIN top ON c_custkey = k", None),
     "derived_table": ("SELECT x.m, COUNT(*) AS n FROM (SELECT o_custkey % 7 AS m FROM orders) x GROUP BY x.m", None),
     "case_when": ("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS c, CASE p_size WHEN 1 THEN 'one' END AS one FROM part", None),
-    "coalesce_nullif": ("SELECT p_partkey, COALESCE(NULLIF(p_size, 7), -1) AS a, IFNULL(NULLIF(p_brand, 'Brand#11'), 'none') AS b FROM part", None),
+    "coalesce_nullif": ("SELECT p_partkey, COALESCE(NULLIF(p_size, 7), -1) AS a, IFNULL(NULLIF(p_brand, 'Brand#11'), 'none') AS b FROM part",
+        "SELECT p_partkey, COALESCE(NULLIF(p_size, 7), -1)::bigint AS a, IFNULL(NULLIF(p_brand, 'Brand#11'), 'none') AS b FROM part"),
     "concat": ("SELECT p_partkey || ':' || p_name || NULLIF(p_brand, 'Brand#11') AS x FROM part", None),
     "string_funcs": ("SELECT UPPER(p_name) AS u, LOWER(p_brand) AS l, LENGTH(p_type) AS n, REPLACE(p_type, 'E', '3') AS r, SUBSTR(p_name, 2, 3) AS s FROM part", None),
-    "int_div_mod": ("SELECT p_partkey, p_size / 4 AS d, p_size % 4 AS m, (0 - p_size) / 4 AS e FROM part", "SELECT p_partkey, (p_size // 4)::bigint AS d, p_size % 4 AS m, (-(p_size // 4))::bigint AS e FROM part"),
+    "int_div_mod": ("SELECT p_partkey, p_size / 4 AS d, p_size % 4 AS m, (0 - p_size) / 4 AS e FROM part", "SELECT p_partkey, (p_size // 4)::bigint AS d, (p_size % 4)::bigint AS m, (-(p_size // 4))::bigint AS e FROM part"),
     "real_div": ("SELECT p_partkey, ROUND(p_retailprice / 7, 6) AS d FROM part", None),
     "abs_arith": ("SELECT s_suppkey, ABS(s_acctbal * -2 + 1) AS a, -s_nationkey AS m FROM supplier", None),
     "cast": ("SELECT CAST(p_size AS TEXT) AS t, CAST(p_retailprice AS INTEGER) AS i, CAST('42' AS INTEGER) AS n FROM part",
