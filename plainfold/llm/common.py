@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21  #: bytes of text that the vectorised code takes at once
+CHUNK = 1 << 17  #: bytes of text that the vectorised code takes at once, so that its arrays stay in the cache
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

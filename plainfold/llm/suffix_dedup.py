@@ -138,10 +138,25 @@ def _task_rows(held: list[tuple], length: int) -> pa.RecordBatch:
     left = np.flatnonzero(kind == SINGLE)  # of an anchor with several spans left, one row is dealt out, marked by -1
     again = np.flatnonzero(_shared(h[left]))
     kind[left[again]] = KNOWN
+    gone = np.flatnonzero(kind == REMOVED)
+    r_doc, r_low, r_high = _joined(doc[gone], (low - base)[gone], (high - base)[gone])
+    stay = np.flatnonzero(kind != REMOVED)
     head = left[again][np.concatenate([[True], h[left[again]][1:] != h[left[again]][:-1]])] if len(again) else left[:0]
     more = {"kind": np.full(len(head), SINGLE, np.int32), "h": h[head].view(np.int64), "doc_id": doc[head], "low": np.full(len(head), -1), "high": np.full(len(head), -1)}
-    rows = {"kind": kind, "h": h.view(np.int64), "doc_id": doc, "low": low - base, "high": high - base}
-    return pa.record_batch({c: pa.array(np.concatenate([rows[c], more[c]])) for c in rows})
+    rows = {"kind": kind[stay], "h": h[stay].view(np.int64), "doc_id": doc[stay], "low": (low - base)[stay], "high": (high - base)[stay]}
+    late = {"kind": np.full(len(r_doc), REMOVED, np.int32), "h": np.zeros(len(r_doc), np.int64), "doc_id": r_doc, "low": r_low, "high": r_high}
+    return pa.record_batch({c: pa.array(np.concatenate([rows[c], more[c], late[c]])) for c in rows})
+
+
+def _joined(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of window starts, joined where one begins right after another."""
+    by = np.lexsort((low, doc))
+    doc, low, high = doc[by], low[by], high[by]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > high[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
+    return doc[first], low[first], high[last]
 
 
 def _shared(h: np.ndarray) -> np.ndarray:
@@ -184,21 +199,32 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for id_, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            text = unpack(text)
-            light = [s for s in spans if not s["heavy"]]
-            for i in range(0, len(light), 1 << 14):
-                part = light[i : i + (1 << 14)]
-                low, high = [s["low"] for s in part], [s["high"] for s in part]
-                cut = [text[a : b + length] for a, b in zip(low, high, strict=True)]
-                yield _rows(KNOWN, np.array([s["h"] for s in part]), np.full(len(part), id_), np.array(low), np.array(high), cut)
-            for s in spans:
-                if s["heavy"]:
-                    held.append((text[s["low"] : s["high"] + length], s["h"], id_, s["low"]))
-                    size += len(held[-1][0])
-                    if size > HOLD // 32:
-                        yield from _windows(held, length)
-                        held, size = [], 0
+        spans = batch.column("spans")
+        offs, flat = spans.offsets.to_numpy(), spans.flatten()
+        offs = offs - offs[0]
+        h, low, high, heavy = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("h", "low", "high", "heavy"))
+        ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
+        cut, at, bytes_ = [], [], 0
+        for i, id_ in enumerate(ids):
+            text = unpack(texts[i].as_py())
+            mine = np.arange(offs[i], offs[i + 1])
+            for part in np.array_split(mine, len(mine) // (1 << 14) + 1):
+                for x, a, b, many in zip(part.tolist(), low[part].tolist(), high[part].tolist(), heavy[part].tolist(), strict=True):
+                    if many:
+                        held.append((text[a : b + length], h[x], id_, a))
+                        size += b + length - a
+                    else:
+                        cut.append(text[a : b + length])
+                        at.append(x)
+                        bytes_ += b + length - a
+                if bytes_ > 1 << 22:
+                    yield _rows(KNOWN, h[at], ids[np.searchsorted(offs, at, "right") - 1], low[at], high[at], cut)
+                    cut, at, bytes_ = [], [], 0
+                if size > HOLD // 32:
+                    yield from _windows(held, length)
+                    held, size = [], 0
+        if cut:
+            yield _rows(KNOWN, h[at], ids[np.searchsorted(offs, at, "right") - 1], low[at], high[at], cut)
     if held:
         yield from _windows(held, length)
 
@@ -207,31 +233,26 @@ def _rows(kind: int, key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np
     return pa.record_batch({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "doc_id": pa.array(doc), "low": pa.array(low), "high": pa.array(high), "bytes": pa.array(cut, pa.binary())})
 
 
-def _all_windows(held: list[tuple], length: int) -> tuple[np.ndarray, ...]:
-    """buffer, group, doc, place in the document, place in the buffer of all windows of the spans (bytes, key, doc, low)."""
-    buf = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
-    size = np.array([len(x[0]) for x in held])
+def _all_windows(buf: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """key, doc, place in the document, place in the buffer of all windows of the spans, which lie one after another."""
     count = size - length + 1
-    of = np.repeat(np.arange(len(held)), count)
+    of = np.repeat(np.arange(len(size)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    key, doc, low = (np.array([x[i] for x in held], np.int64) for i in (1, 2, 3))
-    return buf, key[of], doc[of], low[of] + inner, (np.cumsum(size) - size)[of] + inner
+    return key[of], doc[of], low[of] + inner, (np.cumsum(size) - size)[of] + inner
 
 
 def _removed(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Window starts as runs."""
-    by = np.lexsort((at, doc))
-    doc, at = doc[by], at[by]
-    new = np.ones(len(at), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1 if len(at) else first
-    return _rows(REMOVED, np.zeros(len(first), np.int64), doc[first], at[first], at[last], [b""] * len(first))
+    doc, low, high = _joined(doc, at, at)
+    return _rows(REMOVED, np.zeros(len(doc), np.int64), doc, low, high, [b""] * len(doc))
 
 
 def _windows(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     """Of equal windows the earliest, with its bytes and keyed by their hash; the others as removed."""
-    buf, key, doc, at, place = _all_windows(held, length)
+    buf = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
+    size = np.array([len(x[0]) for x in held])
+    key, doc, low = (np.array([x[i] for x in held], np.int64) for i in (1, 2, 3))
+    key, doc, at, place = _all_windows(buf, size, key, doc, low, length)
     order, number = suffix_order(buf, place, key, length)
     first = earliest(number, order, doc, at)
     yield _removed(doc[~first], at[~first])
@@ -246,36 +267,49 @@ def _windows(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, key): all windows that an earlier one with the same key equals, as removed runs."""
-    held: list[tuple] = []
-    size, last = 0, None
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        kinds, keys, docs, lows, highs, cut = (batch.column(c).to_pylist() for c in ("kind", "key", "doc_id", "low", "high", "bytes"))
-        for kind, key, doc, low, high, x in zip(kinds, keys, docs, lows, highs, cut, strict=True):
-            if kind == REMOVED:
-                held.append((b"", None, doc, low, high))
-                continue
-            if (kind, key) != last and size > HOLD // 64:
-                yield from _sorted(held, length)
-                held, size = [], 0
-            last = (kind, key)
-            held.append((x, key, doc, low))
-            size += len(x)
+        kind = batch.column("kind").to_numpy()
+        gone, live = int(np.searchsorted(kind, REMOVED, "right")), batch.num_rows
+        if gone:
+            yield batch.slice(0, gone).select(["doc_id", "low", "high"])
+        if gone < live:
+            held.append(batch.slice(gone))
+            size += held[-1].nbytes
+        if size > HOLD // 4:
+            rows = _whole(held)
+            group = _keys(rows)
+            last = int(np.searchsorted(group, group[-1]))  # its other rows may follow
+            if last:
+                yield _sorted(rows.slice(0, last), group[:last], length)
+            held = [rows.slice(last)]
+            size = held[0].nbytes
     if held:
-        yield from _sorted(held, length)
+        rows = _whole(held)
+        yield _sorted(rows, _keys(rows), length)
 
 
-def _sorted(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    done = [x for x in held if x[1] is None]
-    if done:
-        doc, low, high = (np.array([x[i] for x in done], np.int64) for i in (2, 3, 4))
-        yield pa.record_batch({"doc_id": pa.array(doc), "low": pa.array(low), "high": pa.array(high)})
-    held = [x for x in held if x[1] is not None]
-    if held:
-        buf, key, doc, at, place = _all_windows(held, length)
-        order, number = suffix_order(buf, place, key, length)
-        late = ~earliest(number, order, doc, at)
-        rows = _removed(doc[late], at[late])
-        yield rows.select(["doc_id", "low", "high"])
+def _whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _keys(rows: pa.RecordBatch) -> np.ndarray:
+    """Numbers that rise with kind and key."""
+    kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
+    new = np.zeros(len(key), np.int64)
+    new[1:] = (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
+    return np.cumsum(new)
+
+
+def _sorted(rows: pa.RecordBatch, group: np.ndarray, length: int) -> pa.RecordBatch:
+    data = rows.column("bytes")
+    offs = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    buf = np.frombuffer(data.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    group, doc, at, place = _all_windows(buf, np.diff(offs), group, rows.column("doc_id").to_numpy(), rows.column("low").to_numpy(), length)
+    order, number = suffix_order(buf, place, group, length)
+    late = ~earliest(number, order, doc, at)
+    return _removed(doc[late], at[late]).select(["doc_id", "low", "high"])
 
 
 def repeats(docs: DataFrame, at: str, length: int) -> DataFrame:
