@@ -63,7 +63,7 @@ def schedule(sources: DataFrame, block: int, k: int) -> DataFrame:
         "rank", "run", F.coalesce(F.sum("count").over(W.partitionBy("rank").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")
     )
     slot = F.row_number().over(W.partitionBy("rank", "run").orderBy("step")) - 1 + F.col("base")
-    slots = points.join(base, ["rank", "run"]).select("rank", "quota", slot.alias("slot"), "step")
+    slots = points.join(base.hint("merge"), ["rank", "run"]).select("rank", "quota", slot.alias("slot"), "step")
     closing = stretch.select("rank", "quota", F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("slot"), (F.lit(int(n)) + F.col("rank")).alias("step"))
     low = F.col("slot") * block
     return slots.unionByName(closing).select("rank", "slot", "step", low.alias("low"), F.least(low + block, F.col("quota")).alias("high")).where("low < high")
@@ -90,12 +90,12 @@ def mix(docs: DataFrame, *, block_words: int = 4096, most: int = 3, bucket_rows:
         "rank", "bucket", F.coalesce(F.sum("words").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")
     )
     inside = F.coalesce(F.sum("size").over(W.partitionBy("rank", "bucket").orderBy("at", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("inside", inside).join(base, ["rank", "bucket"]).withColumn("offset", F.col("base") + F.col("inside"))
+    placed = rows.withColumn("inside", inside).join(base.hint("merge"), ["rank", "bucket"]).withColumn("offset", F.col("base") + F.col("inside"))
     placed = placed.where("size > 0 and quota > 0").select(
         "doc_id", "rank", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: struct_of(e))).alias("round"), "quota"
     ).select("doc_id", "rank", F.col("round.a").alias("a"), F.least(F.col("round.a") + F.col("size"), F.col("quota")).alias("b")).where("a < b")
     pieces = placed.select("doc_id", "rank", "a", "b", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("slot"))
-    taken = pieces.join(schedule(sources, block, k), ["rank", "slot"]).select(
+    taken = pieces.join(schedule(sources, block, k).hint("merge"), ["rank", "slot"]).select(
         "step", "doc_id", (F.greatest("a", "low") - F.col("a")).alias("first_word"), (F.least("b", "high") - F.greatest("a", "low")).alias("n_words")
     )
     return rows.select("doc_id", "size", "source_size", "target"), taken.where("n_words > 0")
