@@ -69,7 +69,7 @@ def features(text: str) -> np.ndarray:
     out[16] = sum(len(w) <= 3 for w in words) / n
     out[17] = len(set(lines)) / len(lines)
     out[18] = text.count(",") / n
-    out[19] = max(map(len, words[:2000])) > 40
+    out[19] = max(map(len, words)) > 40
     return out
 
 
