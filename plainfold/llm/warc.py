@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ FIELDS = {
 }
 CRLF = b"\r\n"
 DATE = "20260101000000"  #: pages carry no date
+HOLD = 1 << 22  #: bytes of blocks that a reader passes on at once
 
 
 def arc_record(version: int, url: str, content_type: str, body: bytes, ip: str = "0.0.0.0", date: str = DATE) -> bytes:
@@ -86,7 +89,7 @@ def warc_record(row: int, head: dict, block: bytes, refers_to: int | None) -> by
     """The WARC record of a parsed ARC record: a response, or a revisit where ``refers_to`` names the response."""
     http, payload = split_http(block)
     digest = hashlib.sha256(payload).hexdigest()
-    d = head["date"].ljust(14, "0")
+    d = head["date"] + "00000101000000"[len(head["date"]) :]  # a date cut short means its beginning
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(row)}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {head['url']}", f"WARC-IP-Address: {head['ip']}",
@@ -99,21 +102,24 @@ def warc_record(row: int, head: dict, block: bytes, refers_to: int | None) -> by
     return CRLF.join(x.encode("utf-8", "surrogateescape") for x in lines) + CRLF + CRLF + block + CRLF + CRLF
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields (names in lower case) and block of each record, cut by Content-Length."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == CRLF:  # between records
-            at += 2
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict, bytes]]:
+    """Header fields (names in lower case) and block of each record, cut by Content-Length. Holds one record at a time."""
+    while first := stream.readline():
+        if first == CRLF:  # between records
             continue
-        end = data.index(CRLF + CRLF, at)
-        first, *lines = data[at:end].split(CRLF)
         if not first.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower().decode(): v.strip().decode("utf-8", "surrogateescape") for k, v in (x.split(b":", 1) for x in lines)}
+            raise ValueError(f"no WARC record before byte {stream.tell()}")
+        head = {}
+        while (line := stream.readline()) != CRLF:
+            if not line:
+                raise ValueError("the archive ends within a header")
+            name, _, value = line.partition(b":")
+            head[name.strip().lower().decode()] = value.strip().decode("utf-8", "surrogateescape")
         size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError("the archive ends within a block")
+        yield head, block
 
 
 def legacy(row: int, url: str | None, payload: bytes) -> tuple[bytes, int]:
@@ -148,20 +154,38 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"record": pa.array(out, pa.binary())})
 
 
+RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("block", pa.binary())])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of compressed archives, passed on about ``HOLD`` bytes at a time."""
+    def passed(rows: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RECORD.types, strict=True)], schema=RECORD)
+
     for batch in batches:
         for data in batch.column("content"):
-            rows = []
-            for head, block in parse_warc(gzip.decompress(data.as_py())):
-                digest = head["warc-payload-digest"].removeprefix("sha256:")
-                if head["warc-type"] == "response" and hashlib.sha256(payload := split_http(block)[1]).hexdigest() != digest or hashlib.sha256(block).hexdigest() != head["warc-block-digest"].removeprefix("sha256:"):
-                    raise ValueError(f"digest of {head['warc-record-id']}")
-                size = len(payload) if head["warc-type"] == "response" else int(head["warc-payload-length"])
-                refers = head.get("warc-refers-to")
-                rows.append((row_of(head["warc-record-id"]), size, digest, head["warc-type"], row_of(refers) if refers else None, head["warc-target-uri"], block))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "block"])
+            rows, size = [], 0
+            for head, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(data.as_py()))):
+                rows.append(_row(head, block))
+                size += len(block)
+                if size > HOLD:
+                    yield passed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield passed(rows)
+
+
+def _row(head: dict, block: bytes) -> tuple:
+    """A record's columns. Raises ValueError where a digest doesn't hold."""
+    digest, payload = head["warc-payload-digest"].removeprefix("sha256:"), None
+    if head["warc-type"] == "response":
+        payload = split_http(block)[1]
+    whole = hashlib.sha256(block).hexdigest() == head["warc-block-digest"].removeprefix("sha256:")
+    if not whole or payload is not None and hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"digest of {head['warc-record-id']}")
+    size = int(head["warc-payload-length"]) if payload is None else len(payload)
+    refers = head.get("warc-refers-to")
+    return row_of(head["warc-record-id"]), size, digest, head["warc-type"], row_of(refers) if refers else None, head["warc-target-uri"], block
 
 
 def write_archives(pages: DataFrame, path: str, *, least: int = 100, records: int = 2000) -> None:

@@ -1,4 +1,5 @@
 import hashlib
+import io
 
 import pytest
 
@@ -36,3 +37,15 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert warc.convert(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_broken_archives():
+    block = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    data = warc.warc_record(7, {"date": "2020", "url": "http://a/", "ip": "1.2.3.4"}, block, None)
+    (head, got), (_, again) = warc.parse_warc(io.BytesIO(data * 2))
+    assert got == again == block and head["warc-date"] == "2020-01-01T00:00:00Z" and warc._row(head, got)[:2] == (7, 3)
+    for bad in (data[:-10], data[:40], b"x" + data):
+        with pytest.raises(ValueError):
+            list(warc.parse_warc(io.BytesIO(bad)))
+    with pytest.raises(ValueError):
+        warc._row(head, got + b"!")
