@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainfold.llm.common import one_per_id, save, table, work
+from plainfold.llm.common import one_per_id, quoted, save, table, work
 from plainfold.llm.decontaminate import decontaminate
 from plainfold.llm.line_dedup import line_dedup
 from plainfold.llm.mixing import mixed
@@ -29,7 +29,7 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = rows.join(kept, "doc_id")
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

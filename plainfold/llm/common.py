@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +33,21 @@ def save(df: DataFrame, at: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
 
 
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as they must be written where points or backticks in them would have a meaning."""
+    return ["`" + x.replace("`", "``") + "`" for x in names]
+
+
 def one_per_id(df: DataFrame, key: str, *cols: str) -> DataFrame:
     """The ``key`` and ``cols`` of each row, one row for each key that isn't null.
 
     Rows without an id name nothing and take no part. Rows that repeat an id count once: the one with the
     greatest ``cols`` stays. The ids are counted first, in a job that reads only them; tables whose ids are
     unique, as they should be, aren't shuffled."""
-    df = df.select(key, *cols).where(F.col(key).isNotNull())
+    df = df.select(key, *quoted(cols)).where(F.col(key).isNotNull())
     if df.groupBy(key).count().where("count > 1").isEmpty():
         return df
-    return df.groupBy(key).agg(F.max(F.struct(*cols)).alias("_row")).select(key, *(F.col("_row")[c].alias(c) for c in cols))
+    return df.groupBy(key).agg(F.max(F.struct(*quoted(cols))).alias("_row")).select(key, *(F.col("_row")[c].alias(c) for c in cols))
 
 
 # Words and hashes, vectorised ------------------------------------------------------------------------------------
