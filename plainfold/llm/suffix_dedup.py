@@ -277,7 +277,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         if gone < live:
             held.append(batch.slice(gone))
             size += held[-1].nbytes
-        if size > HOLD // 4:
+        if size > HOLD // 16:  # the arrays of a span's windows take some 35 times its bytes
             rows = _whole(held)
             group = _keys(rows)
             last = int(np.searchsorted(group, group[-1]))  # its other rows may follow
