@@ -11,8 +11,8 @@ item must stand against equal values in the document and different ones against
 names may be replaced, but only as a whole. A document is contaminated by an item where consistent windows on one
 diagonal cover ``share`` of the item's tokens or more, or ``least`` tokens in a row.
 
-The benchmark's windows are held against all documents in blocks of at most ``block`` windows, so what is broadcast has
-a fixed size. Defined results: null and empty texts have no windows and match nothing; rows without id take no part and
+The benchmark is held against all documents in blocks of at most ``block`` items, so what is broadcast is bounded in
+items, though not in the length of their texts. Defined results: null and empty texts have no windows and match nothing; rows without id take no part and
 repeated ids count once (``one_per_id``); empty tables give an empty result. Other columns aren't read.
 """
 
