@@ -6,10 +6,11 @@ lower-case self. Templates are windows of ``window`` canonical tokens; an item o
 with fewer than ``literal`` tokens that aren't slots say too little and count only where all their tokens are equal.
 
 Windows of the benchmark, by hash, are joined with those of all documents. Where windows of an item meet a document on one
-diagonal (the same distance between their places), the slots are compared: within the diagonal, equal slot values of the
-item must stand against equal values in the document and different ones against different ones, by type. So numbers and
-names may be replaced, but only as a whole. A document is contaminated by an item where consistent windows on one
-diagonal cover ``share`` of the item's tokens or more, or ``least`` tokens in a row.
+diagonal (the same distance between their places), the slots are compared: equal slot values of the item must stand
+against equal values in the document and different ones against different ones. Where that fails, the diagonal is cut
+into its longest runs of a window or more in which it holds. A document is contaminated by an item where the runs on one
+diagonal cover ``share`` of the item's tokens or more, or one run ``least`` tokens. Only where two values have changed
+places with each other, and not throughout, it is another question: then the share doesn't count.
 
 The benchmark is held against all documents in blocks of at most ``block`` items, so what is broadcast is bounded in
 items, though not in the length of their texts. Defined results: null and empty texts have no windows and match nothing; rows without id take no part and
@@ -19,7 +20,9 @@ repeated ids count once (``one_per_id``); empty tables give an empty result. Oth
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +47,13 @@ UPPER[0x41:0x5B] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = True
 NUMBER, NAME, UNIT = 1, 2, 3
+READINGS = 2
 _SLOT = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xABCDEF))
 _UNIT_HASH = None
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, hash of the word, canonical hash and slot type (0: none) of each token."""
+    """document, hash of the word and slot type (0: none) of each token."""
     global _UNIT_HASH
     if _UNIT_HASH is None:
         joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
@@ -75,33 +79,57 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         long = end - start > 1
         shouted[long] = UPPER[buf[start[long] + 1]]
         kind[inside & UPPER[buf[start]] & ~shouted & (kind == 0)] = NAME
-    return doc, word, np.where(kind > 0, _SLOT[kind], word), kind
+    return doc, word, kind
 
 
-def windows(doc: np.ndarray, word: np.ndarray, canon: np.ndarray, kind: np.ndarray, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the first token and hash of each window. Windows of too few literal tokens hash their words instead."""
-    n = len(doc) - size + 1
+class Reading(NamedTuple):
+    """A way to read the tokens of texts."""
+
+    at: np.ndarray  #: the first token of each place, and the end
+    doc: np.ndarray
+    code: np.ndarray  #: what windows hash
+    slot: np.ndarray  #: whether a place is a slot
+
+
+def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray) -> list[Reading]:
+    """The words themselves; with slots."""
+    at = np.arange(len(doc) + 1)
+    return [Reading(at, doc, word, kind > 0), Reading(at, doc, np.where(kind > 0, _SLOT[kind], word), kind > 0)]
+
+
+def windows(r: int, read: Reading, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and hash of each window. Windows of too few literal tokens are read by their words only."""
+    n = len(read.doc) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     mult = np.uint64(0xD6E8FEB86659FD93)
-    by_canon, by_word = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    code = np.zeros(n, np.uint64)
     for j in range(size):
-        by_canon = by_canon * mult + canon[j : j + n]
-        by_word = by_word * mult + word[j : j + n]
-    slots = np.concatenate([[0], np.cumsum(kind > 0)])
+        code = code * mult + read.code[j : j + n]
+    slots = np.concatenate([[0], np.cumsum(read.slot)])
     few = size - (slots[size:] - slots[:-size]) < min(literal, size)
-    whole = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    return whole, mix(np.where(few, by_word + np.uint64(1), by_canon) + np.uint64(size))[whole]
+    whole = np.flatnonzero((read.doc[:n] == read.doc[size - 1 :]) & (few if r == 0 else ~few))
+    return whole, mix(code[whole] + np.uint64(size + (r << 32)))
 
 
-def consistent(item: list[tuple[int, int]], text: list[tuple[int, int]]) -> bool:
-    """Whether slots (type, value) of the item and of the text stand one to one."""
-    there: dict = {}
-    back: dict = {}
-    for a, b in zip(item, text, strict=True):
-        if a[0] != b[0] or there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return False
-    return True
+def runs(pairs: list[tuple[bytes, bytes] | None]) -> list[tuple[int, int]]:
+    """The longest stretches, as begin and end, in which the pairs of slot values stand one to one; None: no slot."""
+    there, back, n, out, a = {}, {}, Counter(), [], 0
+    for b, pair in enumerate(pairs):
+        if pair is None:
+            continue
+        x, y = pair
+        if there.get(x, y) != y or back.get(y, x) != x:
+            out.append((a, b))
+            while there.get(x, y) != y or back.get(y, x) != x:
+                if old := pairs[a]:
+                    n[old] -= 1
+                    if not n[old]:
+                        del there[old[0]], back[old[1]]
+                a += 1
+        there[x], back[y] = y, x
+        n[pair] += 1
+    return [*out, (a, len(pairs))]
 
 
 class Benchmark:
@@ -109,57 +137,110 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[int, bytes]], size: int, literal: int):
         self.size, self.literal = size, literal
-        self.items: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        hashes, items, places, sizes = [], [], [], []
+        self.items: dict[int, tuple[np.ndarray, np.ndarray, list[Reading]]] = {}
+        hashes, items, places = [], [], []
+        self.sizes: list[set[int]] = [set() for _ in range(READINGS)]
         for item, text in rows:
             buf = np.frombuffer(text, np.uint8)
-            doc, word, canon, kind = tokens(buf, np.array([0, len(buf)]))
-            self.items[item] = word, canon, kind
-            n = min(size, len(word))
-            if n:
-                at, h = windows(doc, word, canon, kind, n, literal)
-                hashes.append(h)
-                items += [item] * len(h)
-                places += at.tolist()
-                sizes += [n] * len(h)
+            seen = tokens(buf, np.array([0, len(buf)]))
+            self.items[item] = seen[1], seen[2], readings(*seen)
+            for r, read in enumerate(self.items[item][2]):
+                n = min(size, len(read.doc))
+                if n:
+                    at, h = windows(r, read, n, literal)
+                    hashes.append(h)
+                    items += [item] * len(h)
+                    places += at.tolist()
+                    self.sizes[r].add(n)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.place = h[order], np.array(items, np.int64)[order], np.array(places, np.int64)[order]
-        self.sizes = sorted(set(sizes))
+        self.low = np.uint64((1 << min(22, (16 * len(h)).bit_length())) - 1)
+        self.seen = np.zeros(int(self.low) + 1, bool)  # by their low bits: most windows of documents are none of these
+        self.seen[h & self.low] = True
+
+
+def paths(units: dict[tuple[int, int], tuple[int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Units (begin in the item and in the text, end in both) that follow one another without a gap in either."""
+    ends, done = set(units.values()), set()
+    for first in sorted(units):
+        if first in ends or first in done:
+            continue
+        path, at = [], first
+        while at in units and at not in done:
+            done.add(at)
+            path.append((*at, *units[at]))
+            at = units[at]
+        yield path
+
+
+def together(found: list[tuple]) -> list[list[tuple]]:
+    """Runs by diagonal."""
+    groups: dict[int, list[tuple]] = {}
+    for run in sorted(found, key=lambda x: x[:3]):
+        groups.setdefault(run[0], []).append(run)
+    return list(groups.values())
+
+
+def exchanged(pairs: set[tuple[bytes, bytes]]) -> bool:
+    """Whether two values have changed places with each other, but not throughout: that is another question."""
+    one_to_one = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+    return not one_to_one and any(x != y and (y, x) in pairs for x, y in pairs)
 
 
 def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, least: int) -> list[tuple[int, int, int, bool]]:
     """document, item, tokens covered, whether a slot was replaced."""
-    doc, word, canon, kind = tokens(buf, offs)
-    hits: dict[tuple[int, int, int], set[int]] = {}
     if not len(bench.hash):
         return []
-    for size in bench.sizes:
-        at, h = windows(doc, word, canon, kind, size, bench.literal)
-        low, high = np.searchsorted(bench.hash, h), np.searchsorted(bench.hash, h, "right")
-        for i in np.flatnonzero(high > low):
-            for j in range(low[i], high[i]):
-                item, place = int(bench.item[j]), int(bench.place[j])
-                if min(bench.size, len(bench.items[item][0])) == size:
-                    hits.setdefault((int(doc[at[i]]), item, int(at[i]) - place), set()).add(place)
-    best: dict[tuple[int, int], tuple[int, bool]] = {}
-    for (d, item, shift), places in hits.items():
-        i_word, _, i_kind = bench.items[item]
-        size = min(bench.size, len(i_word))
-        covered = np.zeros(len(i_word) + 1, bool)
-        for p in places:
-            covered[p : p + size] = True
-        on = np.flatnonzero(covered)
-        slots = on[(i_kind[on] > 0) | (kind[on + shift] > 0)]
-        if not consistent([(int(i_kind[x]), int(i_word[x])) for x in slots], [(int(kind[x + shift]), int(word[x + shift])) for x in slots]):
-            continue
-        edge = np.flatnonzero(covered[1:] != covered[:-1]) if len(on) else []
-        longest = int(np.diff(np.concatenate([[-1] if covered[0] else [], edge]))[::2].max()) if len(on) else 0
-        if len(on) >= share * len(i_word) or longest >= least:
-            replaced = bool((i_word[on] != word[on + shift]).any())
-            if (d, item) not in best or len(on) > best[d, item][0]:
-                best[d, item] = len(on), replaced
-    return [(d, item, n, replaced) for (d, item), (n, replaced) in best.items()]
+    seen = tokens(buf, offs)
+    _, word, kind = seen
+    reads = readings(*seen)
+    hits: dict[tuple[int, int], dict[tuple[int, int], set[int]]] = {}
+    for r, read in enumerate(reads):
+        for size in bench.sizes[r]:
+            at, h = windows(r, read, size, bench.literal)
+            some = np.flatnonzero(bench.seen[h & bench.low])
+            at, h = at[some], h[some]
+            low, high = np.searchsorted(bench.hash, h), np.searchsorted(bench.hash, h, "right")
+            for i in np.flatnonzero(high > low):
+                for j in range(low[i], high[i]):
+                    item, place = int(bench.item[j]), int(bench.place[j])
+                    if min(bench.size, len(bench.items[item][2][r].doc)) == size:
+                        hits.setdefault((int(read.doc[at[i]]), item), {}).setdefault((r, int(at[i]) - place), set()).add(place)
+    out = []
+    for (d, item), diagonals in hits.items():
+        i_word, i_kind, i_reads = bench.items[item]
+        units: dict[tuple[int, int], tuple[int, int]] = {}
+        for (r, shift), places in diagonals.items():
+            covered = np.zeros(len(i_reads[r].doc), bool)
+            for p in places:
+                covered[p : p + min(bench.size, len(covered))] = True
+            on = np.flatnonzero(covered)
+            here, there = i_reads[r].at, reads[r].at
+            for a, c, b, e in zip(here[on].tolist(), there[on + shift].tolist(), here[on + 1].tolist(), there[on + shift + 1].tolist(), strict=True):
+                units[a, c] = max(units.get((a, c), (b, e)), (b, e))
+        found = []  # diagonal, begin and end in the item, whether a slot was replaced, pairs
+        for path in paths(units):
+            pairs = [
+                (i_word[a:b].tobytes(), word[c:e].tobytes()) if b - a > 1 or e - c > 1 or i_kind[a] or kind[c] else None
+                for a, c, b, e in path
+            ]
+            for x, y in runs(pairs):
+                if y - x >= min(bench.size, *(len(read.doc) for read in i_reads)):
+                    a, c, b = path[x][0], path[x][1], path[y - 1][2]
+                    found.append((c - a, a, b, {p for p in pairs[x:y] if p}))
+        best = None
+        for group in together(found):
+            covered = np.zeros(len(i_word), bool)
+            for _, a, b, _ in group:
+                covered[a:b] = True
+            pairs = set().union(*(p for *_, p in group))
+            n, longest = int(covered.sum()), max(b - a for _, a, b, _ in group)
+            if (longest >= least or n >= share * len(i_word) and not exchanged(pairs)) and (best is None or n > best[0]):
+                best = n, any(x != y for x, y in pairs)
+        if best:
+            out.append((d, item, *best))
+    return out
 
 
 FOUND = "doc_id long, item_id long, n_tokens long, replaced boolean"
@@ -209,6 +290,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def canonical(text: str) -> list[str]:
     """The canonical tokens, to look at."""
     buf = np.frombuffer(text.encode(), np.uint8)
-    _, _, _, kind = tokens(buf, np.array([0, len(buf)]))
+    _, _, kind = tokens(buf, np.array([0, len(buf)]))
     found = re.findall(rb"(?:[0-9A-Za-z\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", text.encode())
     return [{NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}.get(int(k), w.decode().lower()) for k, w in zip(kind, found, strict=True)]

@@ -1,4 +1,6 @@
-from plainfold.llm.decontaminate import canonical, contaminated, decontaminate
+import numpy as np
+
+from plainfold.llm.decontaminate import Benchmark, canonical, contaminated, decontaminate, matches
 
 ITEM = "A train leaves Boston at 60 miles per hour and Alice waits while Bob walks 3.5 km to meet Alice at noon."
 PLAIN = "the quick brown fox jumps over the lazy dog while seven cats sleep under a warm and quiet roof tonight"
@@ -27,6 +29,27 @@ def test_slots_may_change_together(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {3, 4, 5, 6, 8, 10, None}
 
 
+def found(item, *texts, **how):
+    bench = Benchmark([(1, item.encode())], 8, 4)
+    buf = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, buf)])
+    return {d: (n, replaced) for d, _, n, replaced in matches(bench, np.frombuffer(b"".join(buf), np.uint8), offs, how.get("share", 0.5), how.get("least", 20))}
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert contaminated(docs.limit(0), bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
+
+
+LONG = (
+    "Every morning the baker Alice carries 12 loaves of bread to the market square while her brother sells the rest from a small cart "
+    "near the river bridge, and at noon they count what has been left over. On the way home Alice gives 12 loaves to the old school "
+    "and asks how many are still to be sold before evening comes"
+)
+
+
+def test_an_edited_value_costs_only_its_windows():
+    edits = [LONG, LONG.replace("home Alice", "home Carol"), LONG.replace("gives 12", "gives 13")]
+    assert [found(LONG, x)[0][0] >= 50 for x in edits] == [True] * 3
+    short = "We saw how Alice went to the market and bought some bread for all of us, then Alice sold it again"
+    assert found(short, short.replace("then Alice", "then Carol"))[0][0] >= 10
