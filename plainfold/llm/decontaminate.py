@@ -3,7 +3,8 @@
 A text's tokens are its runs of letters and digits (a point or comma between digits belongs to the number). Numbers,
 names (capitalised inside a sentence) and units (a fixed list, after a number) become typed slots, everything else its
 lower-case self. Templates are windows of ``window`` canonical tokens; an item of fewer tokens is one window. Windows
-with fewer than ``literal`` tokens that aren't slots say too little and count only where all their tokens are equal.
+with fewer than ``literal`` tokens that aren't slots say too little and count only where all their tokens are equal;
+where these are, any window counts, whatever types its tokens have on either side.
 
 Windows of the benchmark, by hash, are joined with those of all documents. Where windows of an item meet a document on one
 diagonal (the same distance between their places), the slots are compared: equal slot values of the item must stand
@@ -94,11 +95,11 @@ class Reading(NamedTuple):
 def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray) -> list[Reading]:
     """The words themselves; with slots."""
     at = np.arange(len(doc) + 1)
-    return [Reading(at, doc, word, kind > 0), Reading(at, doc, np.where(kind > 0, _SLOT[kind], word), kind > 0)]
+    return [Reading(at, doc, word, np.zeros(len(doc), bool)), Reading(at, doc, np.where(kind > 0, _SLOT[kind], word), kind > 0)]
 
 
 def windows(r: int, read: Reading, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and hash of each window. Windows of too few literal tokens are read by their words only."""
+    """First place and hash of each window that has enough literal tokens; all are, where the words are read."""
     n = len(read.doc) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -107,8 +108,8 @@ def windows(r: int, read: Reading, size: int, literal: int) -> tuple[np.ndarray,
     for j in range(size):
         code = code * mult + read.code[j : j + n]
     slots = np.concatenate([[0], np.cumsum(read.slot)])
-    few = size - (slots[size:] - slots[:-size]) < min(literal, size)
-    whole = np.flatnonzero((read.doc[:n] == read.doc[size - 1 :]) & (few if r == 0 else ~few))
+    enough = size - (slots[size:] - slots[:-size]) >= min(literal, size)
+    whole = np.flatnonzero((read.doc[:n] == read.doc[size - 1 :]) & enough)
     return whole, mix(code[whole] + np.uint64(size + (r << 32)))
 
 

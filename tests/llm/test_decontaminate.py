@@ -53,3 +53,9 @@ def test_an_edited_value_costs_only_its_windows():
     assert [found(LONG, x)[0][0] >= 50 for x in edits] == [True] * 3
     short = "We saw how Alice went to the market and bought some bread for all of us, then Alice sold it again"
     assert found(short, short.replace("then Alice", "then Carol"))[0][0] >= 10
+
+
+def test_equal_words_match_whatever_their_types():
+    item = "Alice paid Bob 30 dollars, Carol 12 dollars, and Dan the other 7 that were left in her purse"
+    assert found(item, f"see {item}", f"x. {item}", item.lower(), item.upper()) == {i: (19, False) for i in range(4)}
+    assert found("Paris lies in France", "so Paris lies in France", "so Paris lies in Spain") == {0: (4, False)}
