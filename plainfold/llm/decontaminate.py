@@ -1,10 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text's tokens are its runs of letters and digits (a point or comma between digits belongs to the number). Numbers,
-names (capitalised inside a sentence) and units (a fixed list, after a number) become typed slots, everything else its
-lower-case self. Templates are windows of ``window`` canonical tokens; an item of fewer tokens is one window. Windows
-with fewer than ``literal`` tokens that aren't slots say too little and count only where all their tokens are equal;
-where these are, any window counts, whatever types its tokens have on either side.
+names (capitalised) and units (a fixed list, after a number) become typed slots, everything else its lower-case self. The
+first word of a sentence may be a name or not, so texts are read both ways. Templates are windows of ``window`` canonical
+tokens; an item of fewer tokens is one window. Windows with fewer than ``literal`` tokens that aren't slots say too little
+and count only where all their tokens are equal; where these are, any window counts, whatever types its tokens have.
 
 Windows of the benchmark, by hash, are joined with those of all documents. Where windows of an item meet a document on one
 diagonal (the same distance between their places), the slots are compared: equal slot values of the item must stand
@@ -48,13 +48,13 @@ UPPER[0x41:0x5B] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = True
 NUMBER, NAME, UNIT = 1, 2, 3
-READINGS = 2
+READINGS = 3
 _SLOT = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xABCDEF))
 _UNIT_HASH = None
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, hash of the word and slot type (0: none) of each token."""
+    """document, hash of the word, slot type (0: none) and type if the names at the starts of sentences count, of each token."""
     global _UNIT_HASH
     if _UNIT_HASH is None:
         joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
@@ -66,7 +66,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         core[1:-1] |= point & digit[:-2] & digit[2:]
     start, end, doc = words(buf, offs, core)
     word = span_hash(prefix_hash(buf, True), start, end)
-    kind = np.zeros(len(start), np.int8)
+    kind = wide = np.zeros(len(start), np.int8)
     if len(start):
         kind[digit[start]] = NUMBER
         after = np.zeros(len(start), bool)  # a number before it, in the same document
@@ -79,8 +79,10 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         shouted = np.zeros(len(start), bool)  # in capitals throughout: says nothing
         long = end - start > 1
         shouted[long] = UPPER[buf[start[long] + 1]]
-        kind[inside & UPPER[buf[start]] & ~shouted & (kind == 0)] = NAME
-    return doc, word, kind
+        named = UPPER[buf[start]] & ~shouted & (kind == 0)
+        wide = np.where(named, np.int8(NAME), kind)
+        kind[named & inside] = NAME
+    return doc, word, kind, wide
 
 
 class Reading(NamedTuple):
@@ -92,10 +94,11 @@ class Reading(NamedTuple):
     slot: np.ndarray  #: whether a place is a slot
 
 
-def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray) -> list[Reading]:
-    """The words themselves; with slots."""
+def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray, wide: np.ndarray) -> list[Reading]:
+    """The words themselves; with slots; with slots and capitalised words at the starts of sentences as names too."""
     at = np.arange(len(doc) + 1)
-    return [Reading(at, doc, word, np.zeros(len(doc), bool)), Reading(at, doc, np.where(kind > 0, _SLOT[kind], word), kind > 0)]
+    out = [Reading(at, doc, word, np.zeros(len(doc), bool))]
+    return out + [Reading(at, doc, np.where(k > 0, _SLOT[k], word), k > 0) for k in (kind, wide)]
 
 
 def windows(r: int, read: Reading, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +147,7 @@ class Benchmark:
         for item, text in rows:
             buf = np.frombuffer(text, np.uint8)
             seen = tokens(buf, np.array([0, len(buf)]))
-            self.items[item] = seen[1], seen[2], readings(*seen)
+            self.items[item] = seen[1], seen[3], readings(*seen)
             for r, read in enumerate(self.items[item][2]):
                 n = min(size, len(read.doc))
                 if n:
@@ -194,7 +197,7 @@ def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, l
     if not len(bench.hash):
         return []
     seen = tokens(buf, offs)
-    _, word, kind = seen
+    _, word, _, kind = seen
     reads = readings(*seen)
     hits: dict[tuple[int, int], dict[tuple[int, int], set[int]]] = {}
     for r, read in enumerate(reads):
@@ -291,6 +294,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def canonical(text: str) -> list[str]:
     """The canonical tokens, to look at."""
     buf = np.frombuffer(text.encode(), np.uint8)
-    _, _, kind = tokens(buf, np.array([0, len(buf)]))
+    _, _, kind, _ = tokens(buf, np.array([0, len(buf)]))
     found = re.findall(rb"(?:[0-9A-Za-z\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", text.encode())
     return [{NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}.get(int(k), w.decode().lower()) for k, w in zip(kind, found, strict=True)]

@@ -59,3 +59,10 @@ def test_equal_words_match_whatever_their_types():
     item = "Alice paid Bob 30 dollars, Carol 12 dollars, and Dan the other 7 that were left in her purse"
     assert found(item, f"see {item}", f"x. {item}", item.lower(), item.upper()) == {i: (19, False) for i in range(4)}
     assert found("Paris lies in France", "so Paris lies in France", "so Paris lies in Spain") == {0: (4, False)}
+
+
+def test_names_at_the_starts_of_sentences_may_be_replaced():
+    item = "Tom has 5 apples. Tom eats 2 apples. Tom buys 4 apples. How many apples has Tom?"
+    assert found(item, item.replace("Tom", "Sam"), f"Now: {item.replace('Tom', 'Sam')}", f"so {item.replace('Tom', 'Sam')}") == {i: (17, True) for i in range(3)}
+    ends = "Tom has 5 red apples. Tom eats 2 green apples. How many are still left over now?"
+    assert found(ends, ends.replace("Tom", "Sam")) == {0: (17, True)}
