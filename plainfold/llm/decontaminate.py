@@ -9,9 +9,13 @@ and count only where all their tokens are equal; where these are, any window cou
 Windows of the benchmark, by hash, are joined with those of all documents. Where windows of an item meet a document on one
 diagonal (the same distance between their places), the slots are compared: equal slot values of the item must stand
 against equal values in the document and different ones against different ones. Where that fails, the diagonal is cut
-into its longest runs of a window or more in which it holds. A document is contaminated by an item where the runs on one
-diagonal cover ``share`` of the item's tokens or more, or one run ``least`` tokens. Only where two values have changed
-places with each other, and not throughout, it is another question: then the share doesn't count.
+into its longest runs of a window or more in which it holds. Names that follow one another are one slot, so a name may be
+replaced by one of more words. Words put in or left out move the rest to another diagonal: runs on diagonals that are no
+further from the next than half of the item, or a window, count together.
+
+A document is contaminated by an item where such runs cover ``share`` of the item's tokens or more, or one run ``least``
+tokens. Only where two values have changed places with each other, and not throughout, it is another question: then the
+share doesn't count.
 
 The benchmark is held against all documents in blocks of at most ``block`` items, so what is broadcast is bounded in
 items, though not in the length of their texts. Defined results: null and empty texts have no windows and match nothing; rows without id take no part and
@@ -43,6 +47,8 @@ CORE = np.zeros(256, bool)
 CORE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
+PAUSE = np.zeros(256, bool)
+PAUSE[[ord(c) for c in ",()[]{}/"]] = True
 UPPER = np.zeros(256, bool)
 UPPER[0x41:0x5B] = True
 STOP = np.zeros(256, bool)
@@ -54,7 +60,8 @@ _UNIT_HASH = None
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, hash of the word, slot type (0: none) and type if the names at the starts of sentences count, of each token."""
+    """document, hash of the word, slot type (0: none), type if the names at the starts of sentences count and whether it
+    follows the token before without a pause, of each token."""
     global _UNIT_HASH
     if _UNIT_HASH is None:
         joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
@@ -67,6 +74,7 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     start, end, doc = words(buf, offs, core)
     word = span_hash(prefix_hash(buf, True), start, end)
     kind = wide = np.zeros(len(start), np.int8)
+    close = np.zeros(len(start), bool)
     if len(start):
         kind[digit[start]] = NUMBER
         after = np.zeros(len(start), bool)  # a number before it, in the same document
@@ -82,7 +90,9 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         named = UPPER[buf[start]] & ~shouted & (kind == 0)
         wide = np.where(named, np.int8(NAME), kind)
         kind[named & inside] = NAME
-    return doc, word, kind, wide
+        pauses = np.concatenate([[0], np.cumsum(PAUSE[buf])])
+        close[1:] = inside[1:] & (pauses[start[1:]] == pauses[end[:-1]])
+    return doc, word, kind, wide, close
 
 
 class Reading(NamedTuple):
@@ -94,11 +104,17 @@ class Reading(NamedTuple):
     slot: np.ndarray  #: whether a place is a slot
 
 
-def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray, wide: np.ndarray) -> list[Reading]:
-    """The words themselves; with slots; with slots and capitalised words at the starts of sentences as names too."""
-    at = np.arange(len(doc) + 1)
-    out = [Reading(at, doc, word, np.zeros(len(doc), bool))]
-    return out + [Reading(at, doc, np.where(k > 0, _SLOT[k], word), k > 0) for k in (kind, wide)]
+def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray, wide: np.ndarray, close: np.ndarray) -> list[Reading]:
+    """The words themselves; with slots; with slots and capitalised words at the starts of sentences as names too. Names
+    that follow one another are one slot."""
+    n = len(doc)
+    out = [Reading(np.arange(n + 1), doc, word, np.zeros(n, bool))]
+    for k in (kind, wide):
+        head = np.ones(n, bool)
+        head[1:] = ~(close[1:] & (k[1:] == NAME) & (k[:-1] == NAME))
+        at = np.flatnonzero(head)
+        out.append(Reading(np.append(at, n), doc[at], np.where(k[at] > 0, _SLOT[k[at]], word[at]), k[at] > 0))
+    return out
 
 
 def windows(r: int, read: Reading, size: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +194,14 @@ def paths(units: dict[tuple[int, int], tuple[int, int]]) -> Iterator[list[tuple[
         yield path
 
 
-def together(found: list[tuple]) -> list[list[tuple]]:
-    """Runs by diagonal."""
-    groups: dict[int, list[tuple]] = {}
+def together(found: list[tuple], reach: int) -> list[list[tuple]]:
+    """Runs, parted where neighbouring diagonals are more than ``reach`` apart."""
+    groups: list[list[tuple]] = []
     for run in sorted(found, key=lambda x: x[:3]):
-        groups.setdefault(run[0], []).append(run)
-    return list(groups.values())
+        if not groups or run[0] - groups[-1][-1][0] > reach:
+            groups.append([])
+        groups[-1].append(run)
+    return groups
 
 
 def exchanged(pairs: set[tuple[bytes, bytes]]) -> bool:
@@ -197,7 +215,7 @@ def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, l
     if not len(bench.hash):
         return []
     seen = tokens(buf, offs)
-    _, word, _, kind = seen
+    _, word, _, kind, _ = seen
     reads = readings(*seen)
     hits: dict[tuple[int, int], dict[tuple[int, int], set[int]]] = {}
     for r, read in enumerate(reads):
@@ -222,6 +240,11 @@ def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, l
             on = np.flatnonzero(covered)
             here, there = i_reads[r].at, reads[r].at
             for a, c, b, e in zip(here[on].tolist(), there[on + shift].tolist(), here[on + 1].tolist(), there[on + shift + 1].tolist(), strict=True):
+                if e - c > b - a:  # a name before or behind the whole item isn't its own
+                    if a == 0 and (word[e - b : e] == i_word[:b]).all():
+                        c = e - b
+                    elif b == len(i_word) and (word[c : c + b - a] == i_word[a:]).all():
+                        e = c + b - a
                 units[a, c] = max(units.get((a, c), (b, e)), (b, e))
         found = []  # diagonal, begin and end in the item, whether a slot was replaced, pairs
         for path in paths(units):
@@ -234,7 +257,7 @@ def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, l
                     a, c, b = path[x][0], path[x][1], path[y - 1][2]
                     found.append((c - a, a, b, {p for p in pairs[x:y] if p}))
         best = None
-        for group in together(found):
+        for group in together(found, max(bench.size, len(i_word) // 2)):
             covered = np.zeros(len(i_word), bool)
             for _, a, b, _ in group:
                 covered[a:b] = True
@@ -294,6 +317,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def canonical(text: str) -> list[str]:
     """The canonical tokens, to look at."""
     buf = np.frombuffer(text.encode(), np.uint8)
-    _, _, kind, _ = tokens(buf, np.array([0, len(buf)]))
+    _, _, kind, *_ = tokens(buf, np.array([0, len(buf)]))
     found = re.findall(rb"(?:[0-9A-Za-z\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", text.encode())
     return [{NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}.get(int(k), w.decode().lower()) for k, w in zip(kind, found, strict=True)]

@@ -66,3 +66,19 @@ def test_names_at_the_starts_of_sentences_may_be_replaced():
     assert found(item, item.replace("Tom", "Sam"), f"Now: {item.replace('Tom', 'Sam')}", f"so {item.replace('Tom', 'Sam')}") == {i: (17, True) for i in range(3)}
     ends = "Tom has 5 red apples. Tom eats 2 green apples. How many are still left over now?"
     assert found(ends, ends.replace("Tom", "Sam")) == {0: (17, True)}
+
+
+def test_words_put_in_and_names_of_more_words():
+    item = (
+        "a young man walks along the shore of Paris with a heavy bag while his old friend stays behind in Paris to look after "
+        "the house and the small garden until he is back again from his long walk"
+    )
+    moved = item.replace("bag while", "bag one day while").replace("garden until", "garden there until").replace("shore of", "shore and beach of")
+    n = len(canonical(item))
+    assert found(item, item.replace("Paris", "New York")) == {0: (n, True)}
+    assert found(item, moved) == {0: (26, False)}
+    short = "the man who lives in Paris has two sons and one of them is a baker in Paris today"
+    assert found(short, short.replace("Paris", "New York"), short.replace("lives in Paris", "lives in New York")) == {0: (19, True), 1: (19, True)}
+    for text in (short, "Paris is a town that is as old as the sea and Tom was in Paris"):
+        for around in (f"so Ann {text}", f"{text} Ann", f"Ann {text} Lee Ann"):
+            assert found(text, around) == {0: (len(canonical(text)), False)}
