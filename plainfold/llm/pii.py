@@ -5,7 +5,8 @@ written so that a long run is scanned once: a match can only begin where the run
 ended, and runs are possessive. Matches are laid out by position through the pieces between them, which needs no
 Python: piece and match lengths are summed up per document.
 
-Terms: a protected entity is a value found by the patterns. Its contexts are the ``near`` code points on either side
+Terms are whole runs of letters and digits of any length, but for a fixed list of particles of up to three letters. A
+protected entity is a value found by the patterns. Its contexts are the ``near`` code points on either side
 of each mention; copies of a context count once. The corpus gives n(t), the documents holding a term, n(e) and
 n(t, e), the documents in which t stands near e. Knowing t tells log2 p(e|t)/p(e) bits of the log2 1/p(e) that e
 holds. A term that tells the share ``disclosure`` of them or more, over at least ``support`` contexts, is disclosing:
@@ -25,7 +26,9 @@ from .common import one_per_id, save, work
 from .line_dedup import LOWER, UPPER
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"[\p{L}][\p{L}\p{N}]{3,}+"
+RUN = r"[\p{L}\p{N}]++"
+# Prepositions, articles and conjunctions, which name nobody, however rare they are in a small table.
+PARTICLES = "a and as at but by for if in nor of off on or the to up".split()
 BITS = 1 << 16  #: of the filter for candidate terms; fixed, so what reaches the driver is bounded
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -87,7 +90,7 @@ def base_spans(docs: DataFrame, near: int = 64) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(RUN), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int, disclosure: float) -> DataFrame | None:
@@ -99,6 +102,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int,
     pairs = (
         mentions.join(holders, "entity")
         .select("entity", "n_e", "doc_id", "copy", F.explode(_terms(F.col("context"))).alias("term"))
+        .where(~F.col("term").isin(PARTICLES))
         .groupBy("term", "entity")
         .agg(F.max("n_e").alias("n_e"), F.count_distinct("doc_id").alias("n_te"), F.count_distinct("copy").alias("copies"))
         .where(F.col("copies") >= support)

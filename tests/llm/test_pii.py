@@ -59,3 +59,14 @@ def test_empty_table_and_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "x@y.zz")] * 3 + [(None, "x@y.zz")], "doc_id long, text string")
     assert [(r.doc_id, len(r.spans)) for r in personal_data(rows).collect()] == [(1, 1)]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_short_names_and_numbers_are_terms(spark):
+    names = [name for name in ("Li", "Ann", "4471", "李明") for _ in range(4)]
+    docs = [(i, f"on day{i} the manager {name} wrote from {name}.x@corp.example.com about the weather") for i, name in enumerate(names)]
+    docs += [(100 + i, f"on day{i} the manager wrote from home about the weather") for i in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in redact(rows).collect()}
+    for i, (doc, text) in enumerate(docs[:16]):
+        assert "the manager  wrote from" in clean[doc], (text, clean[doc])
+    assert clean[100] == docs[16][1]
