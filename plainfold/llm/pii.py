@@ -6,11 +6,11 @@ ended, and runs are possessive. Matches are laid out by position through the pie
 Python: piece and match lengths are summed up per document.
 
 Terms are whole runs of letters and digits of any length, but for a fixed list of particles of up to three letters. A
-protected entity is a value found by the patterns. Its contexts are the ``near`` code points on either side
-of each mention; copies of a context count once. The corpus gives n(t), the documents holding a term, n(e) and
-n(t, e), the documents in which t stands near e. Knowing t tells log2 p(e|t)/p(e) bits of the log2 1/p(e) that e
-holds. A term that tells the share ``disclosure`` of them or more, over at least ``support`` contexts, is disclosing:
-all its mentions become spans of kind ``term``, and ``redact`` generalises entities to their kind and removes terms.
+protected entity is a value found by the patterns. The corpus gives n(t), the documents holding a term, n(e) and n(t, e),
+the documents that hold e and, outside of all entities, t. Knowing t tells log2 p(e|t)/p(e) bits of the log2 1/p(e) that
+e holds. A term that tells the share ``disclosure`` of them or more, over at least ``support`` different texts, is
+disclosing: all its mentions become spans of kind ``term``, and ``redact`` generalises entities to their kind and removes
+terms. Terms in more documents than any that could tell enough of an entity are dropped before they are paired.
 
 Defined results: null texts have no spans; a repeated id counts once and rows without id take no part
 (``one_per_id``); without entities no term is disclosing. Other columns aren't read.
@@ -18,6 +18,8 @@ Defined results: null texts have no spans; a repeated id counts once and rows wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 RUN = r"[\p{L}\p{N}]++"
 # Prepositions, articles and conjunctions, which name nobody, however rare they are in a small table.
 PARTICLES = "a and as at but by for if in nor of off on or the to up".split()
-BITS = 1 << 16  #: of the filter for candidate terms; fixed, so what reaches the driver is bounded
+BITS = 1 << 20  #: of the filters for terms and documents; fixed, so what reaches the driver is bounded
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -45,8 +47,8 @@ def _cut(kind: str, pattern: str, hint: Column) -> Column:
     return F.when(hint & text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.split(text, pattern, -1).alias("gaps"), found.alias("hits")))
 
 
-def base_spans(docs: DataFrame, near: int = 64) -> DataFrame:
-    """doc_id, kind, start, end (code points, end exclusive), value, before, after: one row a match that holds."""
+def base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, start, end (code points, end exclusive), value, copy (hash of the text): one row a match that holds."""
     text = F.col("text")
     cuts = F.array(
         _cut("email", EMAIL, F.contains(text, F.lit("@"))),
@@ -54,9 +56,10 @@ def base_spans(docs: DataFrame, near: int = 64) -> DataFrame:
         _cut("card", CARD, F.lit(True)),
         _cut("phone", PHONE, F.contains(text, F.lit("+"))),
     )
-    per_kind = docs.select("doc_id", F.explode(F.filter(cuts, lambda x: x.isNotNull())).alias("cut"))
+    per_kind = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(F.filter(cuts, lambda x: x.isNotNull())).alias("cut"))
     rows = per_kind.select(
         "doc_id",
+        "copy",
         F.col("cut.kind").alias("kind"),
         F.posexplode(
             F.transform(
@@ -64,12 +67,10 @@ def base_spans(docs: DataFrame, near: int = 64) -> DataFrame:
                 lambda hit, i: F.struct(
                     F.length(F.get(F.col("cut.gaps"), i)).cast("long").alias("gap"),
                     hit.alias("value"),
-                    F.right(F.get(F.col("cut.gaps"), i), F.lit(near)).alias("before"),
-                    F.left(F.get(F.col("cut.gaps"), i + 1), F.lit(near)).alias("after"),
                 ),
             )
         ).alias("i", "hit"),
-    ).select("doc_id", "kind", "i", "hit.*")
+    ).select("doc_id", "copy", "kind", "i", "hit.*")
     size = F.length("value").cast("long")
     end = F.sum(F.col("gap") + size).over(W.partitionBy("doc_id", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - size)
@@ -86,72 +87,113 @@ def base_spans(docs: DataFrame, near: int = 64) -> DataFrame:
         .when(F.col("kind") == "card", F.when(F.length(digits).between(14, 19), luhn).otherwise(False))
         .otherwise(F.length(digits).between(10, 15))
     )
-    return rows.where(holds).select("doc_id", "kind", "start", "end", "value", "before", "after")
+    return rows.where(holds).select("doc_id", "kind", "start", "end", "value", "copy")
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(RUN), F.lit(0)))
 
 
+def _beside(docs: DataFrame, base: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, term: once for each document of ``chosen`` and term that it holds outside of its base spans."""
+    passes = _sieve(chosen, "doc_id")
+    before = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    glued = F.col("value").rlike(r"^[\p{L}\p{N}]")
+    gaps = base.join(chosen, "doc_id", "left_semi").withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
+    gaps = gaps.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("start") > F.col("from"), F.struct("from", F.col("start").alias("to"), glued.alias("glued")))).alias("gaps"),
+        F.max("end").alias("last"),
+    )
+    tail = F.struct(F.col("last").alias("from"), F.length("text").cast("long").alias("to"), F.lit(False).alias("glued"))
+
+    def piece(x: Column) -> Column:  # without the runs that touch a span: they aren't whole
+        cut = F.substring("text", (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int"))
+        cut = F.when(x["from"] > 0, F.regexp_replace(cut, "^" + RUN, "")).otherwise(cut)
+        return F.when(x["glued"], F.regexp_replace(cut, r"(?<![\p{L}\p{N}])" + RUN + "$", "")).otherwise(cut)
+
+    pieces = F.transform(F.concat("gaps", F.array(tail)), piece)
+    words = F.array_distinct(F.flatten(F.transform(pieces, _terms)))
+    docs = docs.where(passes(F.col("doc_id")))  # so that few texts are shuffled
+    return docs.join(gaps, "doc_id").select("doc_id", F.explode(words).alias("term")).where(~F.col("term").isin(PARTICLES))
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int, disclosure: float) -> DataFrame | None:
-    """doc_id, term: the documents holding each disclosing term; None where there is none."""
+    """term: the disclosing ones; None where no entity has enough texts or no term could tell enough."""
     entity = F.concat("kind", F.lit(":"), F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value")))
-    mentions = base.select("doc_id", entity.alias("entity"), F.concat("before", F.lit(" \n "), "after").alias("context"))
-    mentions = save(mentions.withColumn("copy", F.xxhash64("context")), at, "mentions")
-    holders = mentions.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e"), F.count_distinct("copy").alias("copies")).where(F.col("copies") >= support)
-    pairs = (
-        mentions.join(holders, "entity")
-        .select("entity", "n_e", "doc_id", "copy", F.explode(_terms(F.col("context"))).alias("term"))
-        .where(~F.col("term").isin(PARTICLES))
+    mentions = save(base.select("doc_id", "copy", entity.alias("entity")).distinct(), at, "mentions")
+    holders = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("copy").alias("copies")).where(F.col("copies") >= support)
+    mentions = save(mentions.join(holders.drop("copies"), "entity"), at, "holders")
+    most = mentions.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return None
+    n = docs.count()
+    beside = save(_beside(docs, base, mentions.select("doc_id").distinct()).join(mentions.select("doc_id", "copy").distinct(), "doc_id"), at, "beside")
+
+    def most_often(n_e: Column) -> Column:  # a term in more documents can't tell enough of an entity in n_e
+        return F.pow(n_e, F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1 - disclosure)) * (1 + 1e-9)
+
+    rare = beside.groupBy("term").agg(F.count("*").alias("n_t"), F.count_distinct("copy").alias("copies"))
+    rare = save(rare.where((F.col("copies") >= support) & (F.col("n_t") <= most_often(F.lit(most)))).select("term"), at, "rare")
+    passes = _sieve(rare, "term")
+    if passes is None:
+        return None
+    held = docs.select("doc_id", F.explode(F.filter(_terms(F.col("text")), passes)).alias("term"))
+    often = held.join(rare, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    often = save(often.where(F.col("n_t") <= most_often(F.lit(most))), at, "often")
+    told = (
+        beside.join(often, "term").select("doc_id", "term", "n_t")
+        .join(mentions, "doc_id")
+        .where(F.col("n_t") <= most_often(F.col("n_e")))
         .groupBy("term", "entity")
-        .agg(F.max("n_e").alias("n_e"), F.count_distinct("doc_id").alias("n_te"), F.count_distinct("copy").alias("copies"))
+        .agg(F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"), F.count("*").alias("n_te"), F.count_distinct("copy").alias("copies"))
         .where(F.col("copies") >= support)
+        .where(F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e")) >= disclosure * F.log2(F.lit(n) / F.col("n_e")))
     )
-    pairs = save(pairs, at, "pairs")
-    held = _holding(docs, pairs.select("term"))
-    if held is None:
-        return None
-    n = docs.count()
-    known = F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e"))
-    often = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(often, "term").where(known >= disclosure * F.log2(F.lit(n) / F.col("n_e")))
-    told = save(told.select("term").distinct(), at, "told")
-    held = _holding(docs, told)
-    return None if held is None else save(held.join(told, "term", "left_semi").select("doc_id", "term"), at, "held")
-
-
-def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame | None:
-    """doc_id, term: once for each document and term of ``terms`` that it holds, and a few terms more, which share their
-    place in the filter. None where there are no terms."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(BITS))
-    bits = {r[0] for r in terms.select(slot.alias("slot")).distinct().collect()}  # at most BITS of them
-    if not bits:
+    return save(told.select("term").distinct(), at, "told")
+
+
+def _sieve(rows: DataFrame, key: str) -> Callable[[Column], Column] | None:
+    """A test that the values of ``key`` pass, and a few others, which share their place in the filter. None: no rows."""
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64L) AS int))")
+    held = dict(rows.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit)).collect())  # at most BITS / 64 of them
+    if not held:
         return None
-    allowed = F.split(F.lit(",".join("1" if i in bits else "0" for i in range(BITS))), ",")
-    return docs.select("doc_id", F.explode(_terms(F.col("text"))).alias("term")).where(F.get(allowed, slot.cast("int")) == "1")
+    words = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
+
+    def passes(x: Column) -> Column:
+        at = F.pmod(F.xxhash64(x), F.lit(BITS))
+        return F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
 
+    return passes
 
-def term_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end of each mention of the terms ``held`` by the documents."""
+
+def term_spans(docs: DataFrame, told: DataFrame) -> DataFrame | None:
+    """doc_id, kind, start, end of each mention of the terms ``told``; None where there are none. Lengths are shuffled, not texts."""
+    passes = _sieve(told, "term")
+    if passes is None:
+        return None
     bound = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}])"))
     text = F.translate("text", UPPER, LOWER)
-    gaps = held.join(docs, "doc_id").select("doc_id", "term", F.posexplode(F.split(text, bound, -1)).alias("i", "gap"))
+    held = docs.select("doc_id", "text", F.explode(F.filter(_terms(F.col("text")), passes)).alias("term"))
+    gaps = held.select("doc_id", "term", F.posexplode(F.transform(F.split(text, bound, -1), F.length)).alias("i", "gap"))
+    gaps = gaps.join(told, "term", "left_semi")
     size = F.length("term").cast("long")
-    until = F.sum(F.length("gap") + size).over(W.partitionBy("doc_id", "term").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    until = F.sum(F.col("gap") + size).over(W.partitionBy("doc_id", "term").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     last = F.max("i").over(W.partitionBy("doc_id", "term"))
     rows = gaps.select("doc_id", "term", "i", until.alias("end"), last.alias("last"), size.alias("size")).where("i < last")
     return rows.select("doc_id", F.lit("term").alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end")
 
 
-def spans(docs: DataFrame, *, near: int = 64, support: int = 3, disclosure: float = 0.9) -> DataFrame:
+def spans(docs: DataFrame, *, support: int = 3, disclosure: float = 0.9) -> DataFrame:
     """doc_id, spans: array of (start, end, kind, order), by start and then by kind as listed; a row a document that has any."""
     at = work(docs.sparkSession)
     docs = one_per_id(docs, "doc_id", "text")
-    base = save(base_spans(docs, near), at, "base")
+    base = save(base_spans(docs), at, "base")
     rows = base.select("doc_id", "kind", "start", "end")
-    held = disclosing_terms(docs, base, at, support=support, disclosure=disclosure)
-    if held is not None:
-        rows = rows.unionByName(term_spans(docs, held))
+    told = disclosing_terms(docs, base, at, support=support, disclosure=disclosure)
+    if told is not None and (more := term_spans(docs, told)) is not None:
+        rows = rows.unionByName(more)
     order = F.array_position(F.array(*map(F.lit, (*KINDS, "term"))), F.col("kind")).cast("int")
     one = F.struct(F.col("start"), order.alias("order"), F.col("end"), F.col("kind"))
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("spans"))

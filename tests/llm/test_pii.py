@@ -70,3 +70,14 @@ def test_short_names_and_numbers_are_terms(spark):
     for i, (doc, text) in enumerate(docs[:16]):
         assert "the manager  wrote from" in clean[doc], (text, clean[doc])
     assert clean[100] == docs[16][1]
+
+
+def test_terms_far_from_the_entity_and_in_equal_signatures(spark):
+    body = "the committee spoke at length about the budget of the coming year and found it good " * 3
+    sign = "the office of the committee for the budget and for all that has to do with the coming year, where one can write to us at any time "
+    docs = [(i, f"Zu report number{i} {body} x{i}y write to head@corp.example.com") for i in range(4)]
+    docs += [(10 + i, f"{body} day{i} {sign} Kowalczyk desk@corp.example.com Kowalczyk {sign}") for i in range(4)]
+    docs += [(100 + i, f"report number{i} write to the office {sign} {body} x{i}y day{i}") for i in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.spans] for r in spans(rows).collect()}
+    assert found == {i: ["term", "email"] for i in range(4)} | {10 + i: ["term", "email", "term"] for i in range(4)}
