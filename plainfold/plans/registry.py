@@ -57,6 +57,10 @@ SQL: dict[str, tuple[str, str | None]] = {
     "order_nulls_default": (
         "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q, k DESC LIMIT 700",
         "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q NULLS FIRST, k DESC LIMIT 700"),
+    "order_all_rows": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", None),
+    "order_nulls_all_rows": (
+        "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q, k DESC",
+        "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q NULLS FIRST, k DESC"),
     "order_hidden_column": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
     "order_ordinal": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY 2 DESC, 1 LIMIT 15", None),
     "order_alias": ("SELECT c_custkey AS k, c_acctbal * -1 AS neg FROM customer ORDER BY neg, k LIMIT 15", None),

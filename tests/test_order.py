@@ -1,0 +1,13 @@
+from plainfold.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_whole_tables_are_sorted(spark):
+    run = registry.queries()
+    orders = [tuple(r) for r in run["order_all_rows"](spark, SF).collect()]
+    assert len(orders) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert orders == sorted(orders, key=lambda r: (-r[1], r[0]))
+    docs = [tuple(r) for r in run["order_nulls_all_rows"](spark, SF).collect()]
+    assert len(docs) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert docs == sorted(docs, key=lambda r: (r[1] is not None, r[1] or 0, -r[0]))
