@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -61,6 +62,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_ALL = np.uint64(2**64 - 1)
+LONG_WORD = 256
 _POW = np.ones(1, np.uint64)
 _INVPOW = np.ones(1, np.uint64)
 
@@ -83,7 +86,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(buf: np.ndarray, lower: bool) -> np.ndarray:
-    """Sums up to each byte; ``span_hash`` takes differences of them."""
+    """Sums up to each byte; ``span_hash`` takes differences of them. Periodic words can be built that collide, so what is
+    found by these is to be compared as bytes; ``word_hash`` is for what isn't."""
     out = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * powers(len(buf) + 1)[0][: len(buf)], out=out[1:])
     return out
@@ -105,10 +109,48 @@ def words(buf: np.ndarray, offs: np.ndarray, core: np.ndarray) -> tuple[np.ndarr
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the lower-cased bytes of each word. Eight bytes at a time go through the finaliser, so that no sum of
+    powers is there for periodic words to cancel; words over ``LONG_WORD`` bytes get a digest of hashlib's."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _BASE + np.uint64(1))
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = LOWER[buf]
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    at, on = 0, np.flatnonzero(size <= LONG_WORD)
+    while len(on):
+        left = np.minimum(size[on] - at, 8).astype(np.uint64)
+        part = eight[start[on] + at] & (_ALL >> (np.uint64(64) - np.uint64(8) * left))
+        out[on] = mix((out[on] ^ part) * _BASE + np.uint64(at))
+        at += 8
+        on = on[size[on] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def sequence_digests(buf: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """16 bytes of SHA-256 of each document's lower-cased words, one blank between them: equal where the words are."""
+    core = ~SPACE[buf]
+    low = np.where(core, LOWER[buf], np.uint8(0x20))
+    keep = core.copy()
+    keep[1:] |= core[:-1]  # the first blank after a word
+    edge = offs[1:-1]
+    edge = edge[(edge < len(buf)) & (edge > 0)]
+    keep[edge] = core[edge]  # none from the document before
+    at = np.concatenate([[0], np.cumsum(keep)])
+    low = low[keep].tobytes()
+    return [hashlib.sha256(low[at[i] : at[j]].rstrip(b" ")).digest()[:16] for i, j in zip(offs[:-1], offs[1:], strict=True)]
+
+
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Document and hash of each run of ``k`` words (lower-cased ASCII); of all words where a document has fewer."""
     start, end, doc = words(buf, offs, ~SPACE[buf])
-    h = span_hash(prefix_hash(buf, True), start, end)
+    return runs_of_words(doc, word_hash(buf, start, end), len(offs) - 1, k)
+
+
+def runs_of_words(doc: np.ndarray, h: np.ndarray, docs_n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of words given by document and hash; ``docs_n`` documents."""
     mult = np.uint64(0xD6E8FEB86659FD93)
     n = len(h)
     acc = h[: max(0, n - k + 1)].copy()
@@ -116,7 +158,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray,
         acc = acc * mult + h[j : n - k + 1 + j] if n >= k else acc
     whole = doc[: len(acc)] == doc[k - 1 :] if n >= k else np.zeros(0, bool)
     docs, hashes = doc[: len(acc)][whole], mix(acc[whole])
-    count = np.bincount(doc, minlength=len(offs) - 1)
+    count = np.bincount(doc, minlength=docs_n)
     few = np.flatnonzero((count > 0) & (count < k))
     if len(few):
         first = np.searchsorted(doc, few)

@@ -2,8 +2,9 @@
 
 1. A count-min row (``CELLS`` cells, so of fixed size) over the shingles of all texts orders shingles from rare to
    frequent. Any order gives the same links; this one keeps passages that many documents share out of the prefixes.
-2. A text's set becomes its size, a 128-bit fingerprint and the first shingles by that order. Texts with equal sets
-   are one class, named by the smallest id; from here on only classes are joined.
+2. A text's set becomes its size and the first shingles by that order. Texts of the same words in the same order (by
+   128 bits of SHA-256 over the words themselves) are one class, named by the smallest id; from here on only classes are
+   joined. Sets under ``smallest`` shingles link only with equal ones and have one list, that of the whole set.
 3. Sets of at most ``boundary`` shingles enumerate the 2-subsets of their prefix (two sets that link share two of the
    first |s| - need + 2); larger ones scan the inverted lists of their prefix (they share one of |s| - need + 1). Sets
    just below the boundary also stand in the lists, for partners above it. The boundary is where the subsets enumerated
@@ -14,7 +15,8 @@
    many comparisons as it has members. Of other pairs, sizes, places and 512 parity bits a set tell most apart. Lists of frequent shingles are dealt out by salt and their hubs linked by a
    list of hubs.
 
-Comparisons are on the whole texts of both, by 64-bit shingle hashes. Defined results: null, empty and blank texts have the empty
+Comparisons are on the whole texts of both, by 64-bit shingle hashes first; a link is one only if the words themselves
+say so. ``percent`` may be 1 to 100. Defined results: null, empty and blank texts have the empty
 set and link with nothing; under five words, the whole sequence is the one shingle; a repeated id counts once and rows
 without id take no part (``one_per_id``); an empty table gives an empty result. Other columns aren't read.
 """
@@ -28,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, one_per_id, packed, save, shingles, signed, unpacker, work
+from .common import chunks, mix, one_per_id, packed, save, sequence_digests, shingles, signed, unpacker, work
 from .components import components
 
 CELLS = 1 << 18
 SALT = 1000  #: sets that a list may have before it is dealt out
-SMALLEST = 4  #: sets below this size link only with equal ones, at a threshold of 80
 LONG = 64  #: members of a list from which its pairs are looked up in the lists that both stand in
 LARGEST_SMALL = 200  #: no set above this size is ever small: its subsets would outnumber any list
 
@@ -43,6 +44,16 @@ def _need(size, percent: int):
     return -(-percent * size // 100)
 
 
+def smallest(percent: int) -> int:
+    """The size from which a set can link with another one: with one shingle more, s of s + 1 shared are enough."""
+    return 1 << 31 if percent == 100 else -(-percent // (100 - percent))
+
+
+def _two(percent: int) -> int:
+    """The size from which a set shares two shingles with any partner, at least."""
+    return 100 // percent + 1
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     for _, buf, offs in chunks(batches, "text"):
@@ -65,21 +76,25 @@ def _sets(batches: Iterator[pa.RecordBatch], counts, k: int, percent: int) -> It
         doc, h = doc[new], h[new]
         size = np.bincount(doc, minlength=rows.num_rows)
         start = np.cumsum(size) - size
-        f1, f2 = (_sums(mix(h ^ np.uint64(x)), start, size) for x in (0x1234567, 0x89ABCDEF01))
+        f1, f2 = np.frombuffer(b"".join(sequence_digests(buf, offs)), "<u8").reshape(-1, 2).T
+        whole = mix(_sums(mix(h ^ np.uint64(0x1234567)), start, size) + size.astype(np.uint64))
         odd = np.bincount(doc * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * len(size)) & 1
         odd = np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
         freq = n[(h >> np.uint64(46)).astype(np.int64)]
         order = np.lexsort((h, freq, doc))
         long = np.minimum(size, size - _need(size, percent) + 2)
-        long[size < SMALLEST] = 0
+        few = size < smallest(percent)
+        long[few] = np.minimum(size[few], 1)
         rank = np.arange(len(h)) - np.repeat(start, size)
         take = order[rank < np.repeat(long, size)]
         lists = pa.array(np.concatenate([[0], np.cumsum(long)]).astype(np.int32))
         salts = np.maximum(1, (freq[take] - load) // SALT + 1).astype(np.int32)
+        token = h[take]
+        salts[few[doc[take]]], token[few[doc[take]]] = 1, whole[doc[take]][few[doc[take]]]
         yield pa.record_batch({
-            "doc_id": rows.column("doc_id"), "size": pa.array(size.astype(np.int64)), "f1": signed(f1), "f2": signed(f2),
+            "doc_id": rows.column("doc_id"), "size": pa.array(size.astype(np.int64)), "f1": signed(np.ascontiguousarray(f1)), "f2": signed(np.ascontiguousarray(f2)),
             **{f"s{i}": pa.array(np.ascontiguousarray(odd[:, i])) for i in range(8)},
-            "prefix": pa.ListArray.from_arrays(lists, signed(h[take])), "salts": pa.ListArray.from_arrays(lists, pa.array(salts)),
+            "prefix": pa.ListArray.from_arrays(lists, signed(token)), "salts": pa.ListArray.from_arrays(lists, pa.array(salts)),
         })
 
 
@@ -156,12 +171,13 @@ def _room(a: str, b: str, percent: int) -> Column:
 
 def boundary(sets: DataFrame, percent: int) -> int:
     """Sets up to this size enumerate subsets, larger ones scan lists."""
-    rows = sets.where(F.col("size").between(SMALLEST, LARGEST_SMALL))
+    least = max(smallest(percent), _two(percent))
+    rows = sets.where(F.col("size").between(least, LARGEST_SMALL))
     n = {r["size"]: r["count"] for r in rows.groupBy("size").count().collect()}  # at most LARGEST_SMALL rows
     tokens = rows.select(F.explode("prefix").alias("token")).agg(F.count("*").alias("all"), F.approx_count_distinct("token").alias("distinct")).first()
     mean = tokens["all"] / max(1, tokens["distinct"])
     best = total = at = 0
-    for size in range(SMALLEST, LARGEST_SMALL + 1):
+    for size in range(least, LARGEST_SMALL + 1):
         p = size - _need(size, percent)
         total += n.get(size, 0) * ((p + 2) * (p + 1) / 2 - (p + 1) * (1 + mean))
         if total < best:
@@ -170,22 +186,34 @@ def boundary(sets: DataFrame, percent: int) -> int:
 
 
 def _postings(sets: DataFrame, limit: int, percent: int) -> DataFrame:
-    """token, id, meta."""
+    """token, id, meta. Sets that may share one shingle only with a partner scan lists, and so do their partners."""
     p = F.col("size") - F.ceil(percent * F.col("size") / 100).cast("long")
     token, salt, id_, size = F.col("at.token"), F.col("at.salt"), F.col("id"), F.col("size")
     zipped = F.arrays_zip(F.col("prefix").alias("token"), F.col("salts").alias("salt"))
-    heavy = sets.where((size >= SMALLEST) & (100 * size > percent * limit)).select("id", "size", F.posexplode(F.slice(zipped, F.lit(1), (p + 1).cast("int"))).alias("place", "at"))
+    least, two = smallest(percent), _two(percent)
+    scans = 100 * size > percent * limit
+    if least < two:
+        scans = scans | (percent * size <= 100 * (two - 1))
+    heavy = sets.where((size >= least) & scans).select("id", "size", F.posexplode(F.slice(zipped, F.lit(1), (p + 1).cast("int"))).alias("place", "at"))
     heavy = heavy.select(token.alias("token"), "id", _meta(size, F.col("place") + 1, id_, salt).alias("meta"))
+    equal = sets.where(size < least).select(F.explode("prefix").alias("token"), "id", _meta(size, F.lit(0), id_, F.lit(1)).alias("meta"))
+    heavy = heavy.unionByName(equal)
     if not limit:
         return heavy
     subset = lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), F.least(x["salt"], y["salt"]).alias("salt"))
     pairs = F.flatten(F.transform(zipped, lambda x, i: F.transform(F.slice(zipped, i + 2, F.size("prefix")), lambda y: subset(x, y))))
-    light = sets.where(size.between(SMALLEST, limit)).select("id", "size", F.explode(pairs).alias("at"))
+    light = sets.where(size.between(max(least, two), limit)).select("id", "size", F.explode(pairs).alias("at"))
     return heavy.unionByName(light.select(token.alias("token"), "id", _meta(size, F.lit(0), id_, salt).alias("meta")))
 
 
+def worded(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles as words: what ``shingles`` hashes."""
+    w = text.lower().split()
+    return set(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, their texts ta and tb, packed) that reach the threshold."""
+    """The pairs (a, b, their texts ta and tb, packed) that reach the threshold, by hashes and then by words."""
     unpack, kept, room = unpacker(), {}, 0
 
     def shingled(id_: int, text: bytes) -> np.ndarray:
@@ -205,7 +233,9 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         for i, (x, y) in enumerate(zip(a, b, strict=True)):
             sx, sy = shingled(x, batch.column("ta")[i].as_py()), shingled(y, batch.column("tb")[i].as_py())
             n = len(np.intersect1d(sx, sy, assume_unique=True))
-            on[i] = 100 * n >= percent * (len(sx) + len(sy) - n)
+            if 100 * n >= percent * (len(sx) + len(sy) - n):
+                wx, wy = (worded(unpack(batch.column(c)[i].as_py()), k) for c in ("ta", "tb"))
+                on[i] = 100 * len(wx & wy) >= percent * len(wx | wy)
         yield pa.record_batch({"a": pa.array(np.array(a, np.int64)[on]), "b": pa.array(np.array(b, np.int64)[on])})
 
 
@@ -221,6 +251,8 @@ def _links(pairs: DataFrame, bits: DataFrame, texts: DataFrame, k: int, percent:
 
 def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be 1 to 100, not {percent}")
     spark = docs.sparkSession
     at = work(spark)
     docs = one_per_id(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))

@@ -7,7 +7,7 @@ from plainfold.llm import ngram_join as op
 from plainfold.llm.ngram_join import ngram_join
 
 
-def brute(docs):
+def brute(docs, percent=80):
     sets = {}
     for i, text in docs:
         if i is None:
@@ -24,7 +24,7 @@ def brute(docs):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 name[y] = x
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -84,3 +84,30 @@ def test_lists_do_not_depend_on_batches():
     whole = pa.Table.from_batches(op._lists(iter([rows]))).to_pydict()
     for step in (1, 2, 7):
         assert pa.Table.from_batches(op._lists(iter([rows.slice(i, step) for i in range(0, 90, step)]))).to_pydict() == whole
+
+
+def thue_morse(n, swapped=0):
+    return "".join("ab"[(i.bit_count() + swapped) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [128, 1024, 4096])
+def test_periodic_words_that_cancel_in_sums_of_powers_stay_apart(spark, size):
+    docs = [(1, thue_morse(size)), (2, thue_morse(size, 1)), (3, thue_morse(size).upper()), (4, " ".join([thue_morse(size)] * 9)), (5, " ".join([thue_morse(size, 1)] * 9))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and got[2] == (1, 2) and got[3] == (1, 1) and got[5] == (1, 5)
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 65, 80, 90, 100])
+def test_other_thresholds_equal_brute_force(spark, percent):
+    rng = random.Random(percent)
+    docs = [" ".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    docs += [" ".join(f"v{j}" for j in range(n)) + tail for n in (4, 5, 6, 7, 8, 9, 11, 14, 19, 24) for tail in ("", " x", " x y", " a b c d e f g")]
+    docs = list(enumerate(docs)) + [(i + 1000, t) for i, t in corpus(percent) if i is not None]
+    rows = spark.createDataFrame(dict(docs).items(), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(rows, percent=percent).collect()}
+    assert got == brute(list(dict(docs).items()), percent)
+
+
+def test_a_threshold_out_of_range_is_refused(spark):
+    with pytest.raises(ValueError):
+        ngram_join(spark.createDataFrame([], "doc_id long, text string"), percent=0)
