@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, one_per_id, prefix_hash, save, span_hash, words, work
+from .common import chunks, mix, one_per_id, save, word_hash, words, work
 
 # Units of measure and currency, as they follow a number.
 UNITS = """mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres
@@ -66,13 +66,13 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     if _UNIT_HASH is None:
         joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
         a, b, _ = words(joined, np.array([0, len(joined)]), CORE[joined])
-        _UNIT_HASH = np.sort(span_hash(prefix_hash(joined, True), a, b))
+        _UNIT_HASH = np.sort(word_hash(joined, a, b))
     core, digit = CORE[buf], DIGIT[buf]
     if len(buf) > 2:
         point = (buf[1:-1] == 0x2E) | (buf[1:-1] == 0x2C)
         core[1:-1] |= point & digit[:-2] & digit[2:]
     start, end, doc = words(buf, offs, core)
-    word = span_hash(prefix_hash(buf, True), start, end)
+    word = word_hash(buf, start, end)
     kind = wide = np.zeros(len(start), np.int8)
     close = np.zeros(len(start), bool)
     if len(start):
