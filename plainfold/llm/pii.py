@@ -8,12 +8,17 @@ Python: piece and match lengths are summed up per document.
 Terms are whole runs of letters and digits of any length, but for a fixed list of particles of up to three letters. A
 protected entity is a value found by the patterns. The corpus gives n(t), the documents holding a term, n(e) and n(t, e),
 the documents that hold e and, outside of all entities, t. Knowing t tells log2 p(e|t)/p(e) bits of the log2 1/p(e) that
-e holds. A term that tells the share ``disclosure`` of them or more, over at least ``support`` different texts, is
-disclosing: all its mentions become spans of kind ``term``, and ``redact`` generalises entities to their kind and removes
-terms. Terms in more documents than any that could tell enough of an entity are dropped before they are paired.
+e holds. A term that tells the share ``disclosure`` of them or more is disclosing, if there is evidence enough: at least
+``support`` different texts hold both; or, for an entity in fewer texts than that, all of them hold the term and it reads
+like a name or a number that stands for someone: capitalised inside a sentence beside the entity and nowhere in the corpus
+begun with a small letter, or of four digits or more. (Any rare word tells all about an entity that is mentioned once, so
+that counts alone can't tell names from rare words there.) All mentions of such a term become spans of kind ``term``, and
+``redact`` generalises entities to their kind and removes terms. Terms in more documents than any that could tell enough
+of an entity are dropped before they are paired.
 
 Defined results: null texts have no spans; a repeated id counts once and rows without id take no part
-(``one_per_id``); without entities no term is disclosing. Other columns aren't read.
+(``one_per_id``); without entities no term is disclosing, and nothing tells about an entity that all documents hold. Other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .line_dedup import LOWER, UPPER
 
 KINDS = ("email", "ip", "card", "phone")
 RUN = r"[\p{L}\p{N}]++"
+NAMED = r"(?<=[\p{Ll}\p{N},;:)] |[(]|^ )\p{Lu}[\p{L}\p{N}]*+"
+NUMBERED = r"(?:\p{N}\P{N}*+){4}"
 # Prepositions, articles and conjunctions, which name nobody, however rare they are in a small table.
 PARTICLES = "a and as at but by for if in nor of off on or the to up".split()
 BITS = 1 << 20  #: of the filters for terms and documents; fixed, so what reaches the driver is bounded
@@ -90,12 +97,21 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.where(holds).select("doc_id", "kind", "start", "end", "value", "copy")
 
 
+def _lower(x: Column) -> Column:
+    return F.translate(x, UPPER, LOWER)
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(RUN), F.lit(0)))
+    return _found(_lower(text), RUN)
 
 
 def _beside(docs: DataFrame, base: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, term: once for each document of ``chosen`` and term that it holds outside of its base spans."""
+    """doc_id, term, like: once for each document of ``chosen`` and term that it holds outside of its base spans; whether it
+    reads like a name or a number there."""
     passes = _sieve(chosen, "doc_id")
     before = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     glued = F.col("value").rlike(r"^[\p{L}\p{N}]")
@@ -112,41 +128,53 @@ def _beside(docs: DataFrame, base: DataFrame, chosen: DataFrame) -> DataFrame:
         return F.when(x["glued"], F.regexp_replace(cut, r"(?<![\p{L}\p{N}])" + RUN + "$", "")).otherwise(cut)
 
     pieces = F.transform(F.concat("gaps", F.array(tail)), piece)
-    words = F.array_distinct(F.flatten(F.transform(pieces, _terms)))
     docs = docs.where(passes(F.col("doc_id")))  # so that few texts are shuffled
-    return docs.join(gaps, "doc_id").select("doc_id", F.explode(words).alias("term")).where(~F.col("term").isin(PARTICLES))
+    cut = docs.join(gaps, "doc_id").select("doc_id", pieces.alias("pieces"))
+    named = F.flatten(F.transform("pieces", lambda x: F.transform(_found(x, NAMED), lambda w: F.struct(_lower(w).alias("term"), F.lit(True).alias("like")))))
+    words = F.flatten(F.transform("pieces", lambda x: F.transform(_terms(x), lambda w: F.struct(w.alias("term"), w.rlike(NUMBERED).alias("like")))))
+    rows = cut.select("doc_id", F.explode(F.concat(words, named)).alias("word")).select("doc_id", "word.*")
+    return rows.where(~F.col("term").isin(PARTICLES)).groupBy("doc_id", "term").agg(F.max("like").alias("like"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int, disclosure: float) -> DataFrame | None:
-    """term: the disclosing ones; None where no entity has enough texts or no term could tell enough."""
+    """term: the disclosing ones; None where there is no entity or no term could tell enough of one."""
     entity = F.concat("kind", F.lit(":"), F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value")))
     mentions = save(base.select("doc_id", "copy", entity.alias("entity")).distinct(), at, "mentions")
-    holders = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("copy").alias("copies")).where(F.col("copies") >= support)
-    mentions = save(mentions.join(holders.drop("copies"), "entity"), at, "holders")
+    holders = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("copy").alias("e_copies"))
+    n = docs.count()
+    mentions = save(mentions.join(holders.where(F.col("n_e") < n), "entity"), at, "holders")
     most = mentions.agg(F.max("n_e")).first()[0]
     if most is None:
         return None
-    n = docs.count()
     beside = save(_beside(docs, base, mentions.select("doc_id").distinct()).join(mentions.select("doc_id", "copy").distinct(), "doc_id"), at, "beside")
 
     def most_often(n_e: Column) -> Column:  # a term in more documents can't tell enough of an entity in n_e
         return F.pow(n_e, F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1 - disclosure)) * (1 + 1e-9)
 
-    rare = beside.groupBy("term").agg(F.count("*").alias("n_t"), F.count_distinct("copy").alias("copies"))
-    rare = save(rare.where((F.col("copies") >= support) & (F.col("n_t") <= most_often(F.lit(most)))).select("term"), at, "rare")
+    rare = beside.groupBy("term").agg(F.count("*").alias("n_t"), F.count_distinct("copy").alias("copies"), F.max("like").alias("like"))
+    rare = rare.where(((F.col("copies") >= support) | F.col("like")) & (F.col("n_t") <= most_often(F.lit(most))))
+    rare = save(rare.select("term"), at, "rare")
     passes = _sieve(rare, "term")
     if passes is None:
         return None
-    held = docs.select("doc_id", F.explode(F.filter(_terms(F.col("text")), passes)).alias("term"))
-    often = held.join(rare, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Documents that hold a candidate, and of these the ones where it begins with a small letter.
+    row = lambda small: lambda x: F.struct(x.alias("term"), F.lit(small).alias("small"))
+    runs = docs.select(_found(F.col("text"), RUN).alias("runs"))
+    terms = F.filter(F.array_distinct(F.transform("runs", _lower)), passes)
+    small = F.filter("runs", lambda x: x.rlike(r"^\p{Ll}") & (x == _lower(x)) & passes(x))
+    held = runs.select(F.explode(F.concat(F.transform(terms, row(False)), F.transform(small, row(True)))).alias("x")).select("x.*")
+    often = held.join(rare, "term", "left_semi").groupBy("term").agg(F.count_if(~F.col("small")).alias("n_t"), F.count_if(F.col("small")).alias("n_small"))
     often = save(often.where(F.col("n_t") <= most_often(F.lit(most))), at, "often")
     told = (
-        beside.join(often, "term").select("doc_id", "term", "n_t")
+        beside.join(often, "term").select("doc_id", "term", "n_t", (F.col("like") & (F.col("n_small") == 0)).alias("like"))
         .join(mentions, "doc_id")
         .where(F.col("n_t") <= most_often(F.col("n_e")))
         .groupBy("term", "entity")
-        .agg(F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"), F.count("*").alias("n_te"), F.count_distinct("copy").alias("copies"))
-        .where(F.col("copies") >= support)
+        .agg(
+            F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"), F.max("e_copies").alias("e_copies"), F.max("like").alias("like"),
+            F.count("*").alias("n_te"), F.count_distinct("copy").alias("copies"),
+        )
+        .where((F.col("copies") >= support) | (F.col("e_copies") < support) & (F.col("copies") == F.col("e_copies")) & F.col("like"))
         .where(F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e")) >= disclosure * F.log2(F.lit(n) / F.col("n_e")))
     )
     return save(told.select("term").distinct(), at, "told")

@@ -1,7 +1,11 @@
 import hashlib
+import math
+import random
 import re
 
-from plainfold.llm.pii import personal_data, redact, spans
+import regex
+
+from plainfold.llm.pii import PARTICLES, personal_data, redact, spans
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -81,3 +85,91 @@ def test_terms_far_from_the_entity_and_in_equal_signatures(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r.doc_id: [s.kind for s in r.spans] for r in spans(rows).collect()}
     assert found == {i: ["term", "email"] for i in range(4)} | {10 + i: ["term", "email", "term"] for i in range(4)}
+
+
+def brute_terms(docs, support=3, disclosure=0.9):
+    """doc_id: base and term spans, with all statistics held in memory."""
+    docs = {i: t or "" for i, t in docs if i is not None}
+    n, lower = len(docs), lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    base, beside, like, holders, n_t, small = {}, {}, set(), {}, {}, set()
+    for i, text in docs.items():
+        base[i] = brute(text)
+        for a, order, b, kind in base[i]:
+            value = text[a:b]
+            key = (kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower())
+            holders.setdefault(key, set()).add(i)
+        runs = {m[0] for m in regex.finditer(r"[\p{L}\p{N}]+", text)}
+        for t in {lower(x) for x in runs}:
+            n_t[t] = n_t.get(t, 0) + 1
+        small |= {x for x in runs if regex.match(r"\p{Ll}", x) and lower(x) == x}
+        beside[i] = set()
+        covered = [(a, b) for a, _, b, _ in base[i]]
+        for m in regex.finditer(r"[\p{L}\p{N}]+", text):
+            if all(m.end() <= a or m.start() >= b for a, b in covered) and not any(m.end() == a and regex.match(r"[\p{L}\p{N}]", text[a]) or m.start() == b for a, b in covered):
+                t = lower(m[0])
+                if t not in PARTICLES:
+                    beside[i].add(t)
+                    ahead = text[: m.start()]
+                    starts = regex.search(r"([\p{Ll}\p{N},;:)] |\()$", ahead) or ahead == " " or ahead.endswith(" ") and any(b == len(ahead) - 1 for _, b in covered)
+                    if len(re.findall("[0-9]", t)) >= 4 or starts and regex.match(r"\p{Lu}", m[0]):
+                        like.add((i, t))
+    told = set()
+    for who in holders.values():
+        copies = {docs[i] for i in who}
+        for t in set().union(*(beside[i] for i in who)) if len(who) < n else ():
+            both = {i for i in who if t in beside[i]}
+            texts = {docs[i] for i in both}
+            enough = len(texts) >= support or len(copies) < support and texts == copies and any((i, t) in like for i in both) and t not in small
+            if enough and math.log2(len(both) / n_t[t] * n / len(who)) >= disclosure * math.log2(n / len(who)) - 1e-9:
+                told.add(t)
+    out = {}
+    for i, text in docs.items():
+        more = [(m.start(), 4, m.end(), "term") for m in regex.finditer(r"[\p{L}\p{N}]+", text) if lower(m[0]) in told]
+        out[i] = [(a, b, kind) for a, _, b, kind in sorted(base[i] + more)]
+    return out
+
+
+def planted(seed, people=60, others=900):
+    """Texts of common words; in some, someone's name and address, mentioned in one text or two. Returns them and the names."""
+    rng = random.Random(seed)
+    common = ["".join(rng.choice("aeiou" if j % 2 else "bdklmnrst") for j in range(rng.randrange(3, 9))) for _ in range(300)]
+    towns = [w.capitalize() + "ville" for w in common[:12]]
+
+    def sentence():
+        out = [rng.choice(common) for _ in range(rng.randrange(6, 15))]
+        if rng.random() < 0.3:
+            out.insert(3, rng.choice(towns))
+        if rng.random() < 0.1:
+            out.insert(2, f"{rng.choice(common)}{rng.choice(common)}{rng.randrange(10)}")  # a rare word that names nobody
+        return " ".join(out).capitalize() if rng.random() < 0.5 else out[0].capitalize() + " " + " ".join(out[1:])
+
+    prose = lambda k: ". ".join(sentence() for _ in range(k)) + "."
+    docs, names = [], set()
+    for i in range(people):
+        name = "".join(rng.choice("aeiou" if j % 2 else "BDKLMNRSTVZ".lower()) for j in range(9)) + rng.choice(["son", "berg", "ova", "ík"])
+        names.add(name)
+        value = rng.choice([f"{name[:3]}.{i}@mail{i}.example.com", f"+49 171 {1000000 + i * 37}", f"10.{i}.7.{i}"])
+        for _ in range(1 + i % 2):
+            docs.append(f"{prose(2)} {rng.choice(common).capitalize()} {rng.choice(common)} {name.capitalize()} {rng.choice(common)}, {prose(1)} {rng.choice(common).capitalize()} {rng.choice(common)} {value} {prose(1)}")
+    docs += [prose(rng.randrange(1, 6)) for _ in range(others)]
+    rng.shuffle(docs)
+    return list(enumerate(docs)), names
+
+
+def test_terms_equal_brute_force(spark):
+    docs, _ = planted(7, 25, 200)
+    docs += [(1000, "(Quillfeather) x@y.zz Quillfeather 12345 and 9999"), (1001, None), (None, "Quillfeather"), (1002, " Zed a@b.cc Émile saw Émile, x@y.zz"), (1003, docs[0][1]), (1003, docs[0][1])]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_terms(docs)
+    assert got == want and sum(kind == "term" for x in want.values() for *_, kind in x) >= 25
+
+
+def test_planted_names_by_entities_of_one_mention_or_two(spark):
+    """The figures that the README gives."""
+    docs, names = planted(11)
+    text = dict(docs)
+    got = [text[r.doc_id][s.start : s.end].lower() for r in spans(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.spans if s.kind == "term"]
+    mentions = sum(t.lower().count(name) for t in text.values() for name in names)
+    right = sum(x in names for x in got)
+    print(f"precision {right / len(got):.3f}, recall {right / mentions:.3f} of {mentions} mentions")
+    assert right >= 0.9 * len(got) and right >= 0.9 * mentions
