@@ -2,7 +2,8 @@
 
 A text's tokens are its runs of letters and digits (a point or comma between digits belongs to the number). Numbers,
 names (capitalised) and units (a fixed list, after a number) become typed slots, everything else its lower-case self. The
-first word of a sentence may be a name or not, so texts are read both ways. Templates are windows of ``window`` canonical
+first word of a sentence may be a name or not, so texts are read both ways; and once more with numbers written as words
+and units told by their place: the word after a number, there and wherever it stands again in the paragraph. Templates are windows of ``window`` canonical
 tokens; an item of fewer tokens is one window. Windows with fewer than ``literal`` tokens that aren't slots say too little
 and count only where all their tokens are equal; where these are, any window counts, whatever types its tokens have.
 
@@ -17,8 +18,10 @@ A document is contaminated by an item where such runs cover ``share`` of the ite
 tokens. Only where two values have changed places with each other, and not throughout, it is another question: then the
 share doesn't count.
 
-The benchmark is held against all documents in blocks of at most ``block`` items, so what is broadcast is bounded in
-items, though not in the length of their texts. Defined results: null and empty texts have no windows and match nothing; rows without id take no part and
+The benchmark is held against all documents in blocks of at most ``block`` items and ``block_bytes`` bytes of text (a longer
+item is a block of its own), so what is broadcast is bounded. Where there are several blocks, documents are first passed
+through a bit table of fixed size of all their windows, and only those that may hold one are gone through again; a bit set
+by chance lets a document through and loses none. Defined results: null and empty texts have no windows and match nothing; rows without id take no part and
 repeated ids count once (``one_per_id``); empty tables give an empty result. Other columns aren't read.
 """
 
@@ -53,34 +56,50 @@ UPPER = np.zeros(256, bool)
 UPPER[0x41:0x5B] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:;\n\r\"|"]] = True
-NUMBER, NAME, UNIT = 1, 2, 3
-READINGS = 3
+# Numbers written as words.
+SPELLED_OUT = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen
+eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen""".split()
+NUMBER, NAME, UNIT, SPELLED = 1, 2, 3, 4
+READINGS = 4
 _SLOT = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xABCDEF))
-_UNIT_HASH = None
+_SLOT = np.append(_SLOT, _SLOT[NUMBER])  # a number is one, however it's written
+_LISTS: dict[str, np.ndarray] = {}
+BITS = 1 << 26  #: of the table of all windows
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, hash of the word, slot type (0: none), type if the names at the starts of sentences count and whether it
-    follows the token before without a pause, of each token."""
-    global _UNIT_HASH
-    if _UNIT_HASH is None:
-        joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+def _among(word: np.ndarray, names: list[str]) -> np.ndarray:
+    """Whether each hash is that of a word of the list."""
+    if names[0] not in _LISTS:
+        joined = np.frombuffer(" ".join(names).encode(), np.uint8)
         a, b, _ = words(joined, np.array([0, len(joined)]), CORE[joined])
-        _UNIT_HASH = np.sort(word_hash(joined, a, b))
+        _LISTS[names[0]] = np.sort(word_hash(joined, a, b))
+    known = _LISTS[names[0]]
+    return known[np.minimum(np.searchsorted(known, word), len(known) - 1)] == word
+
+
+class Tokens(NamedTuple):
+    doc: np.ndarray
+    word: np.ndarray  #: hash
+    kind: np.ndarray  #: slot type, 0: none
+    wide: np.ndarray  #: type if the names at the starts of sentences count
+    full: np.ndarray  #: type if numbers written as words and units by their place count too
+    close: np.ndarray  #: whether it follows the token before without a pause
+
+
+def tokens(buf: np.ndarray, offs: np.ndarray) -> Tokens:
     core, digit = CORE[buf], DIGIT[buf]
     if len(buf) > 2:
         point = (buf[1:-1] == 0x2E) | (buf[1:-1] == 0x2C)
         core[1:-1] |= point & digit[:-2] & digit[2:]
     start, end, doc = words(buf, offs, core)
     word = word_hash(buf, start, end)
-    kind = wide = np.zeros(len(start), np.int8)
+    kind = wide = full = np.zeros(len(start), np.int8)
     close = np.zeros(len(start), bool)
     if len(start):
         kind[digit[start]] = NUMBER
         after = np.zeros(len(start), bool)  # a number before it, in the same document
         after[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
-        at = np.minimum(np.searchsorted(_UNIT_HASH, word), len(_UNIT_HASH) - 1)
-        kind[after & (kind == 0) & (_UNIT_HASH[at] == word)] = UNIT
+        kind[after & (kind == 0) & _among(word, UNITS)] = UNIT
         stops = np.concatenate([[0], np.cumsum(STOP[buf])])
         inside = np.zeros(len(start), bool)
         inside[1:] = (doc[1:] == doc[:-1]) & (stops[start[1:]] == stops[end[:-1]])
@@ -92,7 +111,18 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         kind[named & inside] = NAME
         pauses = np.concatenate([[0], np.cumsum(PAUSE[buf])])
         close[1:] = inside[1:] & (pauses[start[1:]] == pauses[end[:-1]])
-    return doc, word, kind, wide, close
+        full = wide.copy()
+        full[(kind == 0) & _among(word, SPELLED_OUT)] = SPELLED
+        number = (full == NUMBER) | (full == SPELLED)
+        by_place = np.zeros(len(start), bool)
+        by_place[1:] = number[:-1] & close[1:] & (full[1:] == 0)
+        lines = np.concatenate([[0], np.cumsum(buf == 0x0A)])[start]
+        here = mix(word ^ mix((doc.astype(np.uint64) << np.uint64(32)) + lines.astype(np.uint64)))  # a word of a paragraph
+        units = np.unique(here[by_place & (end - start > 3)])
+        if len(units):
+            by_place |= (units[np.minimum(np.searchsorted(units, here), len(units) - 1)] == here) & (full == 0)
+        full[by_place] = UNIT
+    return Tokens(doc, word, kind, wide, full, close)
 
 
 class Reading(NamedTuple):
@@ -104,16 +134,16 @@ class Reading(NamedTuple):
     slot: np.ndarray  #: whether a place is a slot
 
 
-def readings(doc: np.ndarray, word: np.ndarray, kind: np.ndarray, wide: np.ndarray, close: np.ndarray) -> list[Reading]:
-    """The words themselves; with slots; with slots and capitalised words at the starts of sentences as names too. Names
-    that follow one another are one slot."""
-    n = len(doc)
-    out = [Reading(np.arange(n + 1), doc, word, np.zeros(n, bool))]
-    for k in (kind, wide):
+def readings(t: Tokens) -> list[Reading]:
+    """The words themselves; with slots; with capitalised words at the starts of sentences as names too; with numbers
+    written as words and units by their place. Names that follow one another are one slot, and so are such numbers."""
+    n = len(t.doc)
+    out = [Reading(np.arange(n + 1), t.doc, t.word, np.zeros(n, bool))]
+    for k in (t.kind, t.wide, t.full):
         head = np.ones(n, bool)
-        head[1:] = ~(close[1:] & (k[1:] == NAME) & (k[:-1] == NAME))
+        head[1:] = ~(t.close[1:] & (k[1:] == k[:-1]) & ((k[1:] == NAME) | (k[1:] == SPELLED)))
         at = np.flatnonzero(head)
-        out.append(Reading(np.append(at, n), doc[at], np.where(k[at] > 0, _SLOT[k[at]], word[at]), k[at] > 0))
+        out.append(Reading(np.append(at, n), t.doc[at], np.where(k[at] > 0, _SLOT[k[at]], t.word[at]), k[at] > 0))
     return out
 
 
@@ -163,7 +193,7 @@ class Benchmark:
         for item, text in rows:
             buf = np.frombuffer(text, np.uint8)
             seen = tokens(buf, np.array([0, len(buf)]))
-            self.items[item] = seen[1], seen[3], readings(*seen)
+            self.items[item] = seen.word, seen.full, readings(seen)
             for r, read in enumerate(self.items[item][2]):
                 n = min(size, len(read.doc))
                 if n:
@@ -210,13 +240,52 @@ def exchanged(pairs: set[tuple[bytes, bytes]]) -> bool:
     return not one_to_one and any(x != y and (y, x) in pairs for x, y in pairs)
 
 
+def judged(item: tuple, word: np.ndarray, kind: np.ndarray, reads: list[Reading], diagonals: dict[tuple[int, int], set[int]], size: int, share: float, least: int) -> tuple[int, bool] | None:
+    """Tokens of the item covered and whether a slot was replaced, or None where the text doesn't hold it. ``diagonals``: by
+    reading and distance, the places of the item at which windows meet."""
+    i_word, i_kind, i_reads = item
+    units: dict[tuple[int, int], tuple[int, int]] = {}
+    for (r, shift), places in diagonals.items():
+        covered = np.zeros(len(i_reads[r].doc), bool)
+        for p in places:
+            covered[p : p + min(size, len(covered))] = True
+        on = np.flatnonzero(covered)
+        here, there = i_reads[r].at, reads[r].at
+        for a, c, b, e in zip(here[on].tolist(), there[on + shift].tolist(), here[on + 1].tolist(), there[on + shift + 1].tolist(), strict=True):
+            if e - c > b - a:  # a name before or behind the whole item isn't its own
+                if a == 0 and (word[e - b : e] == i_word[:b]).all():
+                    c = e - b
+                elif b == len(i_word) and (word[c : c + b - a] == i_word[a:]).all():
+                    e = c + b - a
+            units[a, c] = max(units.get((a, c), (b, e)), (b, e))
+    found = []  # diagonal, begin and end in the item, whether a slot was replaced, pairs
+    for path in paths(units):
+        pairs = [
+            (i_word[a:b].tobytes(), word[c:e].tobytes()) if b - a > 1 or e - c > 1 or i_kind[a] or kind[c] else None
+            for a, c, b, e in path
+        ]
+        for x, y in runs(pairs):
+            if y - x >= min(size, *(len(read.doc) for read in i_reads)):
+                a, c, b = path[x][0], path[x][1], path[y - 1][2]
+                found.append((c - a, a, b, {p for p in pairs[x:y] if p}))
+    best = None
+    for group in together(found, max(size, len(i_word) // 2)):
+        covered = np.zeros(len(i_word), bool)
+        for _, a, b, _ in group:
+            covered[a:b] = True
+        pairs = set().union(*(p for *_, p in group))
+        n, longest = int(covered.sum()), max(b - a for _, a, b, _ in group)
+        if (longest >= least or n >= share * len(i_word) and not exchanged(pairs)) and (best is None or n > best[0]):
+            best = n, any(x != y for x, y in pairs)
+    return best
+
+
 def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, least: int) -> list[tuple[int, int, int, bool]]:
     """document, item, tokens covered, whether a slot was replaced."""
     if not len(bench.hash):
         return []
     seen = tokens(buf, offs)
-    _, word, _, kind, _ = seen
-    reads = readings(*seen)
+    word, kind, reads = seen.word, seen.full, readings(seen)
     hits: dict[tuple[int, int], dict[tuple[int, int], set[int]]] = {}
     for r, read in enumerate(reads):
         for size in bench.sizes[r]:
@@ -231,41 +300,7 @@ def matches(bench: Benchmark, buf: np.ndarray, offs: np.ndarray, share: float, l
                         hits.setdefault((int(read.doc[at[i]]), item), {}).setdefault((r, int(at[i]) - place), set()).add(place)
     out = []
     for (d, item), diagonals in hits.items():
-        i_word, i_kind, i_reads = bench.items[item]
-        units: dict[tuple[int, int], tuple[int, int]] = {}
-        for (r, shift), places in diagonals.items():
-            covered = np.zeros(len(i_reads[r].doc), bool)
-            for p in places:
-                covered[p : p + min(bench.size, len(covered))] = True
-            on = np.flatnonzero(covered)
-            here, there = i_reads[r].at, reads[r].at
-            for a, c, b, e in zip(here[on].tolist(), there[on + shift].tolist(), here[on + 1].tolist(), there[on + shift + 1].tolist(), strict=True):
-                if e - c > b - a:  # a name before or behind the whole item isn't its own
-                    if a == 0 and (word[e - b : e] == i_word[:b]).all():
-                        c = e - b
-                    elif b == len(i_word) and (word[c : c + b - a] == i_word[a:]).all():
-                        e = c + b - a
-                units[a, c] = max(units.get((a, c), (b, e)), (b, e))
-        found = []  # diagonal, begin and end in the item, whether a slot was replaced, pairs
-        for path in paths(units):
-            pairs = [
-                (i_word[a:b].tobytes(), word[c:e].tobytes()) if b - a > 1 or e - c > 1 or i_kind[a] or kind[c] else None
-                for a, c, b, e in path
-            ]
-            for x, y in runs(pairs):
-                if y - x >= min(bench.size, *(len(read.doc) for read in i_reads)):
-                    a, c, b = path[x][0], path[x][1], path[y - 1][2]
-                    found.append((c - a, a, b, {p for p in pairs[x:y] if p}))
-        best = None
-        for group in together(found, max(bench.size, len(i_word) // 2)):
-            covered = np.zeros(len(i_word), bool)
-            for _, a, b, _ in group:
-                covered[a:b] = True
-            pairs = set().union(*(p for *_, p in group))
-            n, longest = int(covered.sum()), max(b - a for _, a, b, _ in group)
-            if (longest >= least or n >= share * len(i_word) and not exchanged(pairs)) and (best is None or n > best[0]):
-                best = n, any(x != y for x, y in pairs)
-        if best:
+        if best := judged(bench.items[item], word, kind, reads, diagonals, bench.size, share, least):
             out.append((d, item, *best))
     return out
 
@@ -282,26 +317,68 @@ def _scan(batches: Iterator[pa.RecordBatch], bench, share: float, least: int) ->
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_tokens", "replaced"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literal: int = 4, share: float = 0.5, least: int = 20, block: int = 2000) -> DataFrame:
+def _window_bits(batches: Iterator[pa.RecordBatch], size: int, literal: int) -> Iterator[pa.RecordBatch]:
+    """The places in the bit table, and the window's size, of the windows of items."""
+    for rows, buf, offs in chunks(batches, "text"):
+        for i in range(rows.num_rows):
+            part = buf[offs[i] : offs[i + 1]]
+            for r, read in enumerate(readings(tokens(part, np.array([0, len(part)])))):
+                n = min(size, len(read.doc))
+                if n:
+                    bit = np.unique(windows(r, read, n, literal)[1] & np.uint64(BITS - 1)).astype(np.int64)
+                    yield pa.record_batch({"word": pa.array(bit >> 6), "bit": pa.array(np.int64(1) << (bit & 63)), "size": pa.array(np.full(len(bit), n))})
+
+
+def _may_hold(batches: Iterator[pa.RecordBatch], table, size: int, literal: int) -> Iterator[pa.RecordBatch]:
+    """The documents of which a window has its bit set."""
+    words_, sizes = table.value
+    for rows, buf, offs in chunks(batches, "text"):
+        on = np.zeros(rows.num_rows, bool)
+        for r, read in enumerate(readings(tokens(buf, offs))):
+            for n in sizes:
+                at, h = windows(r, read, n, literal)
+                bit = (h & np.uint64(BITS - 1)).astype(np.int64)
+                on[read.doc[at[(words_[bit >> 6] >> (bit & 63)) & 1 == 1]]] = True
+        yield rows.filter(pa.array(on))
+
+
+def _blocks(items: DataFrame, block: int, block_bytes: int) -> list[int]:
+    """The last id of each block of items, in order. Ids and lengths pass through the driver one by one."""
+    out, n, size, last = [], 0, 0, None
+    for row in items.select("item_id", F.octet_length("text").alias("size")).orderBy("item_id").toLocalIterator():
+        if n and (n == block or size + row["size"] > block_bytes):
+            out.append(last)
+            n = size = 0
+        n, size, last = n + 1, size + row["size"], row["item_id"]
+    return [*out, last] if n else out
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literal: int = 4, share: float = 0.5, least: int = 20, block: int = 2000, block_bytes: int = 1 << 23
+) -> DataFrame:
     """doc_id, item_id, n_tokens (of the item, covered), replaced (whether a slot differs): a row for each document and
-    item that it holds. ``block``: items that are broadcast at once."""
+    item that it holds. ``block``, ``block_bytes``: items, and bytes of them, that are broadcast at once."""
     spark = docs.sparkSession
     at = work(spark)
     docs = one_per_id(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
     items = one_per_id(benchmark, "item_id", "text").select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null")
-    out, after = [], None
-    while True:
-        part = (items if after is None else items.where(F.col("item_id") > after)).orderBy("item_id").limit(block).collect()  # a block
-        if not part:
-            break
-        after = part[-1]["item_id"]
-        bench = spark.sparkContext.broadcast(Benchmark([(r["item_id"], bytes(r["text"])) for r in part], window, literal))
-        found = docs.mapInArrow(lambda b, x=bench: _scan(b, x, share, least), FOUND)
-        out.append(found if len(part) < block and not out else save(found, at, f"block{len(out)}"))
-        if len(part) < block:
-            break
-    if not out:
+    ends = _blocks(items, block, block_bytes)
+    if not ends:
         return spark.createDataFrame([], FOUND)
+    if len(ends) > 1:
+        bits = items.select("text").mapInArrow(lambda b: _window_bits(b, window, literal), "word long, bit long, size long")
+        sizes = [r["size"] for r in bits.select("size").distinct().collect()]  # ``window`` at most
+        held = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # BITS / 64 rows at most
+        words_ = np.zeros(BITS // 64, np.int64)
+        words_[held["word"].to_numpy(int)] = held["bits"].to_numpy(np.int64)
+        table = spark.sparkContext.broadcast((words_, sizes))
+        docs = save(docs.mapInArrow(lambda b: _may_hold(b, table, window, literal), docs.schema), at, "candidates")
+    out = []
+    for low, high in zip([None, *ends], ends, strict=False):
+        part = items.where(F.col("item_id") <= high) if low is None else items.where(F.col("item_id").between(low + 1, high))
+        bench = spark.sparkContext.broadcast(Benchmark([(r["item_id"], bytes(r["text"])) for r in part.orderBy("item_id").collect()], window, literal))  # a block
+        found = docs.mapInArrow(lambda b, x=bench: _scan(b, x, share, least), FOUND)
+        out.append(found if len(ends) == 1 else save(found, at, f"block{len(out)}"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -317,6 +394,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def canonical(text: str) -> list[str]:
     """The canonical tokens, to look at."""
     buf = np.frombuffer(text.encode(), np.uint8)
-    _, _, kind, *_ = tokens(buf, np.array([0, len(buf)]))
+    kind = tokens(buf, np.array([0, len(buf)])).kind
     found = re.findall(rb"(?:[0-9A-Za-z\x80-\xff]|(?<=[0-9])[.,](?=[0-9]))+", text.encode())
     return [{NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}.get(int(k), w.decode().lower()) for k, w in zip(kind, found, strict=True)]
