@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, mix, one_per_id, packed, save, sequence_digests, shingles, signed, unpacker, work
-from .components import components
+from .components import components, extended
 
 CELLS = 1 << 18
 SALT = 1000  #: sets that a list may have before it is dealt out
@@ -315,8 +315,7 @@ def ngram_join(docs: DataFrame, *, k: int = 5, percent: int = 80, rounds: int =
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = save(pairs.join(tried, ["a", "b"], "left_anti"), at, f"tried{step}")
         tried = tried.unionByName(new)
-        links = links.unionByName(save(_links(new, bits, texts, k, percent), at, f"links{step}"))
-        label = components(links, at, f"part{step}")
+        label = extended(label, save(_links(new, bits, texts, k, percent), at, f"links{step}"), at, f"part{step}")
         if step == rounds:
             break
 

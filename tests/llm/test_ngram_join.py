@@ -111,3 +111,26 @@ def test_other_thresholds_equal_brute_force(spark, percent):
 def test_a_threshold_out_of_range_is_refused(spark):
     with pytest.raises(ValueError):
         ngram_join(spark.createDataFrame([], "doc_id long, text string"), percent=0)
+
+
+def test_components_extended_by_more_links(spark, tmp_path):
+    from plainfold.llm.components import components, extended
+
+    rng = random.Random(8)
+    links = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(220)) if a != b] + [(i, i + 1) for i in range(1000, 1064)] + [(2000, i) for i in range(2001, 2050)]
+    name = {i: i for link in links for i in link}
+
+    def root(x):
+        return x if name[x] == x else root(name[x])
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        name[y] = x
+    want = {i: root(i) for i in name}
+    rng.shuffle(links)
+    at, label = f"file://{tmp_path}", None
+    df = lambda rows, i: spark.createDataFrame(rows, "a long, b long").repartition(3)
+    for i, part in enumerate((links[:150], links[150:250], [], links[250:])):
+        label = extended(label, df(part, i), at, f"p{i}") if label else components(df(part, i), at, f"p{i}")
+    got = {r.id: r.label for r in label.collect()}
+    assert got == want and label.count() == len(want)
