@@ -4,22 +4,27 @@ A vector's components are dealt to ``lists`` lists of neighbouring dimensions; i
 Queries come in blocks of at most ``block`` vectors, so what is broadcast has a fixed size; each block is held against
 all vectors, which stay where they are read.
 
-1. Each task gathers the k best entries of each of its local lists, with their full scores, and of those the k best.
-   The k-th best over all tasks is a floor that the k-th best score can't be under.
-2. The floor over the number of lists is a safe cutoff: a score that reaches the floor has a part that reaches the
-   cutoff. It is broadcast with the queries, and tasks collect the entries that reach it in any list.
-3. What is left of their scores is resolved exactly, entries below the floor go, and the k best stay, first in each
-   task, then overall.
-
-Components are floor(scale * x); scores are integer inner products, computed in doubles where these are exact and in
-Python's integers beyond. Ties go to the smaller id. Defined results: vectors that are null or hold null or non-finite
-components take no part, nor do rows without id; repeated ids count once (``one_per_id``); shorter vectors are filled up
-with 0; an empty table gives an empty result. Other columns aren't read. Scores beyond 64 bits are held at its ends.
+1. Each task gathers, from the first ``head`` entries that it reads, the k best scores. The k-th best over all tasks is a
+   floor that the k-th best score can't be under, as it is one of any part of the vectors.
+2. The floor over the number of lists is a safe cutoff: a score that reaches the floor has a part that reaches the cutoff.
+   It is broadcast with the queries. A part is at most the product of both parts' lengths, so each list is gone down in
+   order of length and left where no query's cutoff can be reached any more; entries that reach it are collected. A
+   task's own k best raise its floor as it goes on.
+3. The scores of the entries collected are resolved exactly, entries below the floor go, and the k best stay, first in
+   each task, then overall.
+
+Components are floor(scale * x), from the value as a double; scores are integer inner products, computed in doubles where
+these are exact and in Python's integers beyond. Ties go to the smaller id. Defined results: vectors that are null or hold
+null or non-finite components take no part, nor do rows without id; repeated ids count once (``one_per_id``); shorter
+vectors are filled up with 0; an empty table gives an empty result. Other columns aren't read. Scores beyond 64 bits are
+held at its ends.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,100 +36,139 @@ from .common import one_per_id, save, work
 
 EXACT = float(1 << 53)
 ROWS = 2048  #: vectors that are multiplied at once
+SLACK = 1 + 1e-9  #: of lengths, which are rounded
 FOUND = "query_id long, vec_id long, score long"
 
 
+def _whole(flat: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles: as doubles where that is exact, else as Python's integers."""
+    if len(flat) and float(np.abs(flat).max()) * scale >= EXACT:
+        return np.array([math.floor(Fraction(x) * scale) for x in flat.tolist()], object)
+    return np.floor(scale * flat)
+
+
 def _matrix(column: pa.Array, dims: int, scale: int) -> np.ndarray:
-    """The components as whole numbers: doubles where all products of such vectors are exact."""
+    """The components as whole numbers."""
     size = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), dims))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = _whole(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), scale)
+    out = np.zeros((len(column), dims), flat.dtype)
     row = np.repeat(np.arange(len(column)), size)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-    return np.floor(scale * out)
+    return out
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all products of such vectors are exact in doubles."""
+    return a.dtype != object != b.dtype and not (a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= EXACT)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= EXACT:
+    if not _exact(a, b):
         whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-        return np.array(whole(a).dot(whole(b).T), object).reshape(len(a), len(b))
+        out = np.array(whole(a).dot(whole(b).T), object).reshape(len(a), len(b))
+        return np.clip(out, -(1 << 63), (1 << 63) - 1)
     return a @ b.T
 
 
-def _long(x: np.ndarray) -> np.ndarray:
-    if x.dtype == object:
-        x = np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in x], object)
-    return x.astype(np.int64)
+class Best:
+    """The k best entries of each query so far, and the number of products that it took to find them."""
 
+    def __init__(self, q_ids: np.ndarray, k: int, floor: list | None = None):
+        self.q_ids, self.k, self.products = q_ids, k, 0
+        self.kept = [(np.zeros(0, np.int64), np.zeros(0, object)) for _ in q_ids]
+        self.floor = np.array([-np.inf if f is None else float(f) for f in floor or [None] * len(q_ids)])
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k greatest scores, ties to smaller ids; ids rise."""
-    return np.argsort(-score, kind="stable")[:k]
+    def take(self, ids: np.ndarray, row: np.ndarray, col: np.ndarray, score: np.ndarray) -> None:
+        """Entries ``row`` of ``ids`` have ``score`` with the queries ``col``."""
+        on = (score >= self.floor[col]).astype(bool) & (ids[row] != self.q_ids[col])
+        row, col, score = row[on], col[on], score[on]
+        by = np.argsort(col, kind="stable")
+        row, col, score = row[by], col[by], score[by]
+        edges = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1], [True]])) if len(col) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            j = col[a]
+            all_ids, all_score = np.concatenate([self.kept[j][0], ids[row[a:b]]]), np.concatenate([self.kept[j][1], score[a:b]])
+            best = np.lexsort((all_ids, -all_score))[: self.k]
+            self.kept[j] = all_ids[best], all_score[best]
+            if len(best) == self.k:
+                self.floor[j] = max(self.floor[j], float(all_score[best[-1]]))
+
+    def batch(self) -> pa.RecordBatch:
+        count = [len(x[0]) for x in self.kept]
+        score = np.concatenate([x[1] for x in self.kept]) if self.kept else np.zeros(0, object)
+        return pa.record_batch({
+            "query_id": pa.array(np.repeat(self.q_ids, count)), "vec_id": pa.array(np.concatenate([x[0] for x in self.kept]).astype(np.int64)), "score": pa.array(np.asarray(score).astype(np.int64)),
+        })
+
+    def all_of(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray) -> None:
+        """Entries whose scores are all resolved."""
+        row, col = np.divmod(np.arange(len(ids) * len(q)), max(1, len(q)))
+        self.products += x.size * len(q)
+        self.take(ids, row, col, _product(x, q).ravel())
+
+    def collect(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, cuts: list[np.ndarray], lengths: np.ndarray) -> None:
+        """Phases 2 and 3 over some entries. ``lengths``: of the queries' parts, by list."""
+        cutoff = self.floor / len(cuts)
+        reach = np.zeros((len(ids), len(q)), bool)
+        for c, own in zip(cuts, lengths.T, strict=True):
+            part = x[:, c]
+            length = np.sqrt((part * part).sum(axis=1)) * SLACK
+            # The length from which an entry may reach each query's cutoff in this list; all may reach one of 0 or less.
+            least = np.where(cutoff > 0, cutoff / np.maximum(own * SLACK, 1e-300), -1.0)
+            order = np.argsort(-length, kind="stable")
+            queries = np.argsort(least, kind="stable")
+            down = np.searchsorted(-length[order], -least[queries], "right")  # how far each query goes down the list
+            for a in range(0, len(queries), 256):  # queries that go down about as far
+                these, to = queries[a : a + 256], int(down[a])
+                if to:
+                    rows = order[:to]
+                    score = part[rows] @ q[these][:, c].T
+                    self.products += to * len(these) * len(c)
+                    reach[np.ix_(rows, these)] |= score >= cutoff[these]
+        row, col = np.nonzero(reach)
+        if len(row) * 8 > len(ids) * len(q):  # so many that whole rows are cheaper
+            rows = np.flatnonzero(reach.any(axis=1))
+            self.products += len(rows) * q.size
+            score = (x[rows] @ q.T)[np.searchsorted(rows, row), col]
+        else:
+            self.products += len(row) * x.shape[1]
+            score = np.concatenate([np.einsum("ij,ij->i", x[row[i : i + 65536]], q[col[i : i + 65536]]) for i in range(0, max(1, len(row)), 65536)])
+        self.take(ids, row, col, score)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], dims: int, scale: int):
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
             part = batch.slice(i, ROWS)
-            ids = part.column("vec_id").to_numpy()
-            order = np.argsort(ids)
-            yield ids[order], _matrix(part.column("x"), dims, scale)[order]
+            yield part.column("vec_id").to_numpy(), _matrix(part.column("x"), dims, scale)
 
 
-def _local(batches: Iterator[pa.RecordBatch], queries, dims: int, scale: int, k: int, lists: int) -> Iterator[pa.RecordBatch]:
-    """Phase 1: per query, the k best scores among the k best entries of the task's local lists."""
+def _local(batches: Iterator[pa.RecordBatch], queries, dims: int, scale: int, k: int, head: int) -> Iterator[pa.RecordBatch]:
+    """Phase 1: per query, the k best scores among the first entries of the task."""
     q_ids, q = queries.value
-    kept = [(np.zeros(0, np.int64), np.zeros(0, object)) for _ in q_ids]
-    cuts = np.array_split(np.arange(dims), lists)
+    best, left = Best(q_ids, k), head
     for ids, x in _blocks(batches, dims, scale):
-        parts = [_product(x[:, c], q[:, c]) for c in cuts]
-        for j, query in enumerate(q_ids):
-            near = np.unique(np.concatenate([p[:, j].argpartition(-min(k + 1, len(ids)))[-(k + 1) :] if p.dtype != object and len(ids) > k + 1 else _best(p[:, j], ids, k + 1) for p in parts]))
-            near = near[ids[near] != query]
-            score = sum(p[near, j] for p in parts)
-            all_ids, all_score = np.concatenate([kept[j][0], ids[near]]), np.concatenate([kept[j][1], score])
-            by = np.lexsort((all_ids, -all_score))[:k]
-            kept[j] = all_ids[by], all_score[by]
-    yield _found(q_ids, kept)
+        best.all_of(ids[:left], x[:left], q)
+        left -= len(ids)
+        if left <= 0:
+            break
+    yield best.batch()
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], queries, floors, dims: int, scale: int, k: int, lists: int) -> Iterator[pa.RecordBatch]:
     """Phases 2 and 3: per query, the k best of the task's entries that reach the cutoff in a list and the floor in all."""
     q_ids, q = queries.value
-    floor = floors.value  # None where fewer than k entries are known, and so everything is collected
-    kept = [(np.zeros(0, np.int64), np.zeros(0, object)) for _ in q_ids]
+    best = Best(q_ids, k, floors.value)
     cuts = np.array_split(np.arange(dims), lists)
-    cutoff = np.array([-np.inf if f is None else f / lists for f in floor])
-    least = np.array([-np.inf if f is None else f for f in floor])
     for ids, x in _blocks(batches, dims, scale):
-        parts = [_product(x[:, c], q[:, c]) for c in cuts]
-        reach = np.zeros(parts[0].shape, bool)
-        for p in parts:
-            reach |= (p >= cutoff).astype(bool)
-        row, col = np.nonzero(reach)
-        score = sum(p[row, col] for p in parts)
-        on = (score >= least[col]).astype(bool) & (ids[row] != q_ids[col])
-        row, col, score = row[on], col[on], score[on]
-        by = np.argsort(col, kind="stable")
-        row, col, score = row[by], col[by], score[by]
-        edges = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1], [True]])) if len(col) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            j = col[a]
-            all_ids, all_score = np.concatenate([kept[j][0], ids[row[a:b]]]), np.concatenate([kept[j][1], score[a:b]])
-            best = np.lexsort((all_ids, -all_score))[:k]
-            kept[j] = all_ids[best], all_score[best]
-    yield _found(q_ids, kept)
-
-
-def _found(q_ids: np.ndarray, kept: list) -> pa.RecordBatch:
-    count = [len(x[0]) for x in kept]
-    score = np.concatenate([x[1] for x in kept]) if kept else np.zeros(0, object)
-    return pa.record_batch({
-        "query_id": pa.array(np.repeat(q_ids, count)), "vec_id": pa.array(np.concatenate([x[0] for x in kept]).astype(np.int64)), "score": pa.array(_long(np.asarray(score))),
-    })
+        if _exact(x, q) and _exact(x, x) and _exact(q, q):
+            best.collect(ids, x, q, cuts, np.stack([np.sqrt((q[:, c] ** 2).sum(axis=1)) for c in cuts], axis=1))
+        else:
+            best.all_of(ids, x, q)
+    yield best.batch()
 
 
-def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256, lists: int = 4, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256, lists: int = 4, block: int = 4096, head: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score. Queries are the vectors whose id ``every`` divides."""
     spark = vectors.sparkSession
     at = work(spark)
@@ -142,11 +186,9 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256,
             break
         after = part[-1]["vec_id"]
         ids = np.array([r["vec_id"] for r in part], np.int64)
-        values = np.zeros((len(part), dims))
-        for i, r in enumerate(part):
-            values[i, : len(r["x"])] = r["x"]
-        queries = spark.sparkContext.broadcast((ids, np.floor(scale * values)))
-        first = rows.mapInArrow(lambda b, q=queries: _local(b, q, dims, scale, k, lists), FOUND)
+        values = _matrix(pa.array([r["x"] for r in part], pa.list_(pa.float64())), dims, scale)
+        queries = spark.sparkContext.broadcast((ids, values))
+        first = rows.mapInArrow(lambda b, q=queries: _local(b, q, dims, scale, k, head), FOUND)
         floor = {r["query_id"]: r["score"] for r in _ranked(first, k).where(F.col("rank") == k).collect()}  # one a query of the block
         floors = spark.sparkContext.broadcast([floor.get(int(i)) for i in ids])
         last = rows.mapInArrow(lambda b, q=queries, f=floors: _resolved(b, q, f, dims, scale, k, lists), FOUND)
