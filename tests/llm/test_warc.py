@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 
@@ -49,3 +50,44 @@ def test_broken_archives():
             list(warc.parse_warc(io.BytesIO(bad)))
     with pytest.raises(ValueError):
         warc._row(head, got + b"!")
+
+
+def arc(version, *records, name="x.arc"):
+    return warc.version_block(version, name) + b"".join(records)
+
+
+def test_version_blocks_name_the_fields():
+    body = b"HTTP/1.1 200 OK\r\n\r\nfiledesc://no 0.0.0.0 20200101000000 text/plain 3\nabc"
+    for version in (1, 2):
+        data = arc(version, *[warc.arc_record(version, "http://a/", "text/html; charset=utf-8", body, "1.2.3.4", "2001")] * 2)
+        assert [(h["url"], h["ip"], h["date"], h["type"], b) for h, b in warc.read_arc(io.BytesIO(data))] == [("http://a/", "1.2.3.4", "2001", "text/html; charset=utf-8", body)] * 2
+        assert list(warc.read_arc(io.BytesIO(arc(version)))) == []
+    fields = b"1 0 me\nURL Archive-date Content-type IP-address Archive-length\n"
+    other = b"filedesc://y 2001 text/plain 0.0.0.0 %d\n%s\n" % (len(fields), fields)
+    (head, got), = warc.read_arc(io.BytesIO(other + b"http://b/ 1999 text/html 9.9.9.9 3\nabc\n"))
+    assert (head["ip"], head["date"], got) == ("9.9.9.9", "1999", b"abc")
+    assert list(warc.read_arc(io.BytesIO(b""))) == []
+    one, two = warc.arc_record(1, "u", "t", b"x"), warc.arc_record(2, "u", "t", b"x")
+    for bad in (one, arc(1, two)[:-3], arc(2, one), arc(1).replace(b"1 0", b"7 0"), arc(1).replace(b"URL", b"ULR"), arc(1, one[:-4]), arc(1)[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.read_arc(io.BytesIO(bad)))
+
+
+def test_arc_files_become_warc_files(spark, tmp_path):
+    page = lambda text: b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + text
+    one = [warc.arc_record(1, f"http://a/{i}", "text/html", page(b"a" * 150 if i % 2 else b"%d" % i), "1.2.3.4", "19970203040506") for i in range(6)]
+    two = [warc.arc_record(2, f"http://b/{i}", "text/html", page(b"a" * 150 + b"b" * (i // 2) * (1 << 16))) for i in range(4)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.arc").write_bytes(arc(1, *one))
+    (tmp_path / "in/two.arc.gz").write_bytes(b"".join(map(gzip.compress, [arc(2), *two])))  # a member for each record
+    (tmp_path / "in/empty.arc").write_bytes(b"")
+    records = warc.read_arcs(spark, str(tmp_path / "in"))
+    warc.write_archives(records, str(tmp_path / "out"))
+    got = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.uri for r in got) == sorted([f"http://a/{i}" for i in range(6)] + [f"http://b/{i}" for i in range(4)])
+    same = [r for r in got if r.payload_bytes == 150]
+    first = min(r.page_id for r in same)
+    assert len(same) == 5 and all((r.record_type, r.refers_to) == (("response", None) if r.page_id == first else ("revisit", first)) for r in same)
+    assert sorted(r.payload_bytes for r in got if r.payload_bytes != 150) == [1, 1, 1, 150 + (1 << 16), 150 + (1 << 16)]
+    text = "".join(gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "out").rglob("*.gz"))
+    assert "WARC-Date: 1997-02-03T04:05:06Z" in text and "WARC-IP-Address: 1.2.3.4" in text and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["class0", "class1"]
