@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,12 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; set here only where it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share. Where that is unset, a temporary folder is
+    set, but only if driver and executors are one process: elsewhere each machine would write to its own disk.
+
+    The folder goes when the application ends, by whatever store it lies in; results that are to stay must be written."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plainfold-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/plainfold-{uuid.uuid4().hex}"
+    out = f"{root.rstrip('/')}/plainfold-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return out
 
 
 def save(df: DataFrame, at: str, name: str) -> DataFrame:

@@ -106,8 +106,10 @@ def struct_of(e):
     return F.struct((e.cast("long") * F.col("source_size") + F.col("offset")).alias("a"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
+def mixed(docs: DataFrame, *, steps: bool = False, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken; with ``steps`` also first_step, the first one of the schedule that takes of
+    the document (null: none does)."""
     rows, taken = mix(docs, **how)
-    taken = taken.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
-    return rows.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = taken.groupBy("doc_id").agg(F.sum("n_words").alias("taken"), F.min("step").alias("first_step"))
+    out = [*rows.columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([F.col("first_step").cast("long")] if steps else [])]
+    return rows.join(taken, "doc_id", "left").select(*out)

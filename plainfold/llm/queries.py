@@ -22,7 +22,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents"), steps=True)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +102,21 @@ f as (select *, 3 * source_size / weight::double "full" from w),
 c as (select *, 3 * coalesce(sum(source_size) over (order by "full", rank rows between unbounded preceding and 1 preceding), 0) before,
   sum(weight) over (order by "full", rank rows between current row and unbounded following) open, sum(source_size) over () total from f),
 v as (select *, max(case when (total - before)::double / open <= "full" then (total - before)::double / open end) over () level from c),
-t as (select source, source_size, least(coalesce(level * weight, 0), 3.0::double * source_size) target from v),
+t as (select source, source_size, rank, least(coalesce(level * weight, 0), 3.0::double * source_size) target from v),
 q as (select *, floor(target + 0.5)::bigint quota from t),
-p as (select d.doc_id, d.size, q.source_size, q.target, q.quota, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint a
-  from d join q on d.source is not distinct from q.source)
-select doc_id, size, source_size, target,
-  (greatest(least(quota, a + size) - a, 0) + greatest(least(quota, source_size + a + size) - source_size - a, 0) + greatest(least(quota, 2 * source_size + a + size) - 2 * source_size - a, 0))::bigint taken from p""",
+p as (select d.doc_id, d.size, q.rank, q.source_size, q.target, q.quota, coalesce(sum(d.size) over (partition by d.source order by d.place, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint a
+  from d join q on d.source is not distinct from q.source),
+n as (select coalesce(sum(quota), 0)::bigint total from q),
+k as (select total, greatest(0, ceil(log2(greatest(1, total / 4096::double))))::bigint k from n),
+b as (select total, k, (1::bigint << k) n, greatest(1, ceil(total::double / (1::bigint << k)))::bigint block from k),
+e as (select q.rank, quota, coalesce(sum(quota) over (order by q.rank rows between unbounded preceding and 1 preceding), 0)::double before from q),
+x as (select rank, quota, ceil(before / greatest(total, 1)::double * n::double)::bigint lo, least(ceil((before + quota) / greatest(total, 1)::double * n::double), n)::bigint hi from e, b),
+j as (select j, list_sum(list_transform(range(k), lambda i: ((j >> i) & 1) << (k - 1 - i)))::bigint step from (select unnest(range(n)) j, k from b)),
+o as (select rank, row_number() over (partition by rank order by coalesce(step, 0)) - 1 slot, coalesce(step, 0) step from x join j on j.j >= lo and j.j < hi
+  union all select rank, greatest(hi - lo, 0), n + rank from x, b)
+select p.doc_id, size, source_size, target,
+  (greatest(least(quota, a + size) - a, 0) + greatest(least(quota, source_size + a + size) - source_size - a, 0) + greatest(least(quota, 2 * source_size + a + size) - 2 * source_size - a, 0))::bigint taken,
+  (select min(o.step) from o, b, (select unnest([0, 1, 2]) e) r where o.rank = p.rank and p.size > 0 and e * p.source_size + p.a < p.quota
+    and o.slot between (e * p.source_size + p.a) // b.block and (least(e * p.source_size + p.a + p.size, p.quota) - 1) // b.block)::bigint first_step
+from p""",
 }
