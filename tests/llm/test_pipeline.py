@@ -1,8 +1,11 @@
 import hashlib
+import math
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from plainfold.llm.quality import quality
+from plainfold.llm.quality import SHAPES, features, held_out, preferences, quality
 
 from .test_ngram_join import brute as near
 from .test_quality import corpus
@@ -78,3 +81,35 @@ def test_stages_keep_columns(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, rows, str(tmp_path)).schema.names == rows.columns
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_classifier_stage_equals_a_fit_written_out(spark, tmp_path):
+    """The first stage against Bradley-Terry's loss descended by its gradient, pair by pair, over features of one text at a time."""
+    docs, labels = corpus(150)
+    text = {i: t for i, t, _ in docs}
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in text.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = sorted(((y, features(text[i]).astype(np.float32).tobytes(), i) for i, y, _ in labels if not held_out(i)))
+    y = np.array([k[0] for k in known])
+    x = np.array([np.frombuffer(k[1], np.float32) for k in known]).astype(float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[SHAPES:] = 3 * math.sqrt((x.std(axis=0)[SHAPES:] ** 2).mean())
+    scale[scale < 1e-9] = 1
+    z = lambda v: np.clip((v - mean) / scale, -5, 5)
+    good, bad = preferences(y, 100_000, 1)
+    counts = {}
+    for a, b in zip(good.tolist(), bad.tolist(), strict=True):
+        counts[a, b] = counts.get((a, b), 0) + 1
+    d, n, w = np.array([z(x[a]) - z(x[b]) for a, b in counts]), np.array(list(counts.values())) / len(good), np.zeros(x.shape[1])
+    fast = w.copy()
+    for step in range(4000):  # accelerated
+        p = 1 / (1 + np.exp(np.clip(d @ fast, -30, 30)))
+        new = fast - 0.2 * (1e-3 * fast - d.T @ (n * p))
+        fast, w = new + step / (step + 3) * (new - w), new
+    cut = np.quantile(z(x) @ w, (y == 0).mean())
+    margin = {i: float(z(features(t)) @ w - cut) for i, t in text.items()}
+    kept = {r.doc_id for r in corpus_pipeline.good_only(spark, rows, str(tmp_path)).collect()}
+    assert {i for i, m in margin.items() if m > 1e-2} <= kept <= {i for i, m in margin.items() if m > -1e-2}
+    assert 0 < len(kept) < len(text)
