@@ -1,6 +1,8 @@
 """Documents to a training mix: five stages, each written as Parquet and reread as the next one's documents.
 
-Every stage but the last returns the columns of its input. Rows without doc_id name nothing and leave in the first stage.
+Every stage but the last returns the columns of its input, whatever they are called; what the operators add has other names.
+Rows without doc_id name nothing and leave in the first stage. All stages take whole texts, of any length, and give an empty
+table for an empty one.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from plainfold.llm.quality import keep_good
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are scored as empty ones; rows of equal text
+    have equal scores, and all rows of an id that is kept stay. Without labels of both kinds nothing can be learned: then
+    every document scores 0.5 and stays."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; a document stays, though it be left without text."""
+    """Lines that a document of smaller id holds go, and a document's own repeated lines stay; a document stays, though it be
+    left without text, and null texts become empty. Of rows that repeat an id, one stays."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kept = line_dedup(docs).select("doc_id", "text")
     rows = one_per_id(docs, "doc_id", *others) if others else one_per_id(docs, "doc_id")
@@ -33,18 +38,19 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles, the one with the smallest id stays."""
+    """Of documents linked by their shingles, the one with the smallest id stays. Texts without words link with nothing."""
     first = ngram_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
     return docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go. Null and empty texts hold none, null and empty items stand in none."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document that is left."""
+    """What the mix takes of each document that is left. Texts without words have size 0 and give nothing; a null source is
+    one of its own. Ties in the shuffled order go to the smaller id."""
     return mixed(docs)
 
 
