@@ -13,8 +13,8 @@ e holds. A term that tells the share ``disclosure`` of them or more is disclosin
 like a name or a number that stands for someone: capitalised inside a sentence beside the entity and nowhere in the corpus
 begun with a small letter, or of four digits or more. (Any rare word tells all about an entity that is mentioned once, so
 that counts alone can't tell names from rare words there.) All mentions of such a term become spans of kind ``term``, and
-``redact`` generalises entities to their kind and removes terms. Terms in more documents than any that could tell enough
-of an entity are dropped before they are paired.
+``redact`` generalises entities to their kind and removes terms. Only terms that would tell
+enough if no other documents held them are counted over the whole corpus.
 
 Defined results: null texts have no spans; a repeated id counts once and rows without id take no part
 (``one_per_id``); without entities no term is disclosing, and nothing tells about an entity that all documents hold. Other
@@ -110,8 +110,9 @@ def _terms(text: Column) -> Column:
 
 
 def _beside(docs: DataFrame, base: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, term, like: once for each document of ``chosen`` and term that it holds outside of its base spans; whether it
-    reads like a name or a number there."""
+    """doc_id, term, like: once for each document of ``chosen`` (doc_id, often: whether an entity of it is in texts enough)
+    and term that it holds outside of its base spans; whether it reads like a name or a number there. Where no entity is in
+    texts enough, only those that do can be disclosing."""
     passes = _sieve(chosen, "doc_id")
     before = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     glued = F.col("value").rlike(r"^[\p{L}\p{N}]")
@@ -129,9 +130,10 @@ def _beside(docs: DataFrame, base: DataFrame, chosen: DataFrame) -> DataFrame:
 
     pieces = F.transform(F.concat("gaps", F.array(tail)), piece)
     docs = docs.where(passes(F.col("doc_id")))  # so that few texts are shuffled
-    cut = docs.join(gaps, "doc_id").select("doc_id", pieces.alias("pieces"))
+    cut = docs.join(gaps, "doc_id").join(chosen, "doc_id").select("doc_id", "often", pieces.alias("pieces"))
     named = F.flatten(F.transform("pieces", lambda x: F.transform(_found(x, NAMED), lambda w: F.struct(_lower(w).alias("term"), F.lit(True).alias("like")))))
     words = F.flatten(F.transform("pieces", lambda x: F.transform(_terms(x), lambda w: F.struct(w.alias("term"), w.rlike(NUMBERED).alias("like")))))
+    words = F.filter(words, lambda x: F.col("often") | x["like"])
     rows = cut.select("doc_id", F.explode(F.concat(words, named)).alias("word")).select("doc_id", "word.*")
     return rows.where(~F.col("term").isin(PARTICLES)).groupBy("doc_id", "term").agg(F.max("like").alias("like"))
 
@@ -143,18 +145,27 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int,
     holders = mentions.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("copy").alias("e_copies"))
     n = docs.count()
     mentions = save(mentions.join(holders.where(F.col("n_e") < n), "entity"), at, "holders")
-    most = mentions.agg(F.max("n_e")).first()[0]
-    if most is None:
+    if mentions.isEmpty():
         return None
-    beside = save(_beside(docs, base, mentions.select("doc_id").distinct()).join(mentions.select("doc_id", "copy").distinct(), "doc_id"), at, "beside")
+    chosen = mentions.groupBy("doc_id", "copy").agg(F.max(F.col("e_copies") >= support).alias("often"))
+    beside = save(_beside(docs, base, chosen.select("doc_id", "often")).join(chosen.select("doc_id", "copy"), "doc_id"), at, "beside")
 
-    def most_often(n_e: Column) -> Column:  # a term in more documents can't tell enough of an entity in n_e
-        return F.pow(n_e, F.lit(disclosure)) * F.pow(F.lit(float(n)), F.lit(1 - disclosure)) * (1 + 1e-9)
+    def enough(n_t: Column) -> Column:  # whether that tells the share: n(t, e) / n(t) * n / n(e) >= (n / n(e)) ^ disclosure
+        return n_t <= F.col("n_te") * F.pow(n / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
 
-    rare = beside.groupBy("term").agg(F.count("*").alias("n_t"), F.count_distinct("copy").alias("copies"), F.max("like").alias("like"))
-    rare = rare.where(((F.col("copies") >= support) | F.col("like")) & (F.col("n_t") <= most_often(F.lit(most))))
-    rare = save(rare.select("term"), at, "rare")
-    passes = _sieve(rare, "term")
+    # What would tell enough if no other documents held the term; those are gone through for these only.
+    pairs = (
+        beside.join(mentions.select("doc_id", "entity", "n_e", "e_copies"), "doc_id")
+        .groupBy("term", "entity")
+        .agg(
+            F.max("n_e").alias("n_e"), F.max("e_copies").alias("e_copies"), F.max("like").alias("like"), F.count("*").alias("n_te"), F.count_distinct("copy").alias("copies"),
+        )
+        .withColumn("often", F.col("copies") >= support)
+        .where(F.col("often") | (F.col("e_copies") < support) & (F.col("copies") == F.col("e_copies")) & F.col("like"))
+    )
+    least = beside.groupBy("term").agg(F.count("*").alias("n_b"))
+    pairs = save(pairs.join(least, "term").where(enough(F.col("n_b"))).select("term", "n_e", "n_te", "often").distinct(), at, "pairs")
+    passes = _sieve(pairs, "term")
     if passes is None:
         return None
     # Documents that hold a candidate, and of these the ones where it begins with a small letter.
@@ -163,20 +174,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, at: str, *, support: int,
     terms = F.filter(F.array_distinct(F.transform("runs", _lower)), passes)
     small = F.filter("runs", lambda x: x.rlike(r"^\p{Ll}") & (x == _lower(x)) & passes(x))
     held = runs.select(F.explode(F.concat(F.transform(terms, row(False)), F.transform(small, row(True)))).alias("x")).select("x.*")
-    often = held.join(rare, "term", "left_semi").groupBy("term").agg(F.count_if(~F.col("small")).alias("n_t"), F.count_if(F.col("small")).alias("n_small"))
-    often = save(often.where(F.col("n_t") <= most_often(F.lit(most))), at, "often")
-    told = (
-        beside.join(often, "term").select("doc_id", "term", "n_t", (F.col("like") & (F.col("n_small") == 0)).alias("like"))
-        .join(mentions, "doc_id")
-        .where(F.col("n_t") <= most_often(F.col("n_e")))
-        .groupBy("term", "entity")
-        .agg(
-            F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"), F.max("e_copies").alias("e_copies"), F.max("like").alias("like"),
-            F.count("*").alias("n_te"), F.count_distinct("copy").alias("copies"),
-        )
-        .where((F.col("copies") >= support) | (F.col("e_copies") < support) & (F.col("copies") == F.col("e_copies")) & F.col("like"))
-        .where(F.log2(F.col("n_te") / F.col("n_t") * n / F.col("n_e")) >= disclosure * F.log2(F.lit(n) / F.col("n_e")))
-    )
+    held = held.groupBy("term").agg(F.count_if(~F.col("small")).alias("n_t"), F.count_if(F.col("small")).alias("n_small"))  # before the join, so that rows are few
+    told = pairs.join(held, "term").where(enough(F.col("n_t")) & (F.col("often") | (F.col("n_small") == 0)))
     return save(told.select("term").distinct(), at, "told")
 
 
