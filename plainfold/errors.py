@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
 
 
@@ -49,6 +50,10 @@ def _first_line(exc: Exception) -> str:
     return str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
 
 
+#: How this package's own errors come back from tasks: from Python, or by raise_error.
+_TOLD = re.compile(r"(?:plainfold\.errors\.|\[USER_RAISED_EXCEPTION\] )(DataError|IntegrityError|OperationalError|ProgrammingError): (.*)")
+
+
 @contextmanager
 def translated():
     """Spark's errors as this module's."""
@@ -67,4 +72,6 @@ def translated():
             raise NotSupportedError(_first_line(exc)) from exc
         raise ProgrammingError(f"invalid query: {_first_line(exc)}") from exc
     except (PySparkException, Py4JJavaError) as exc:
+        if told := _TOLD.search(str(exc)):
+            raise globals()[told[1]](told[2]) from exc
         raise OperationalError(f"query execution failed: {_first_line(exc)}") from exc

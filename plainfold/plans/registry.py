@@ -5,9 +5,7 @@ Statements in the dialect go through the parser and the lowering. Where DuckDB r
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from ..operators import changes
 from ..sql.lower import lower, tables
 from ..sql.parser import parse
 from ..streaming.events import hourly
+from . import engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -35,6 +34,9 @@ SELECT c.c_mktsegment AS segment, ROUND(SUM(l.l_extendedprice * (1 - l.l_discoun
 FROM lineitem l INNER JOIN orders o ON l.l_orderkey = o.o_orderkey INNER JOIN customer c ON o.o_custkey = c.c_custkey
 WHERE l.l_quantity > 10 GROUP BY c.c_mktsegment ORDER BY revenue DESC, segment LIMIT 3"""
 
+#: strftime directives that DuckDB has, too.
+STRFTIME = "aAwdbBmyYHIMSfjpUWuVG"
+
 #: name: the dialect's text, DuckDB's text or None for the same.
 SQL: dict[str, tuple[str, str | None]] = {
     "flagship": (FLAGSHIP, None),
@@ -61,6 +63,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "order_nulls_all_rows": (
         "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q, k DESC",
         "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q NULLS FIRST, k DESC"),
+    "order_nulls_last": ("SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY q NULLS LAST, k", None),
+    "order_star": ("SELECT * FROM nation ORDER BY n_regionkey DESC, n_name", None),
     "order_hidden_column": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
     "order_ordinal": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY 2 DESC, 1 LIMIT 15", None),
     "order_alias": ("SELECT c_custkey AS k, c_acctbal * -1 AS neg FROM customer ORDER BY neg, k LIMIT 15", None),
@@ -110,6 +114,12 @@ SQL: dict[str, tuple[str, str | None]] = {
              "SELECT CAST(p_size AS VARCHAR) AS t, CAST(trunc(p_retailprice) AS BIGINT) AS i, 42::bigint AS n FROM part"),
     "strftime_parts": ("SELECT STRFTIME('%Y', o_orderdate) AS y, STRFTIME('%m/%d %H:%M:%S', o_orderdate) AS x, COUNT(*) AS n FROM orders GROUP BY STRFTIME('%Y', o_orderdate), STRFTIME('%m/%d %H:%M:%S', o_orderdate)",
                        "SELECT strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m/%d %H:%M:%S') AS x, COUNT(*) AS n FROM orders GROUP BY 1, 2"),
+    "strftime_all": ("SELECT o_orderkey, " + ", ".join(f"STRFTIME('%{c}', o_orderdate) AS f_{i}" for i, c in enumerate(STRFTIME)) + ", STRFTIME('%% it''s [%F] %T %e', o_orderdate) AS mixed FROM orders",
+                     "SELECT o_orderkey, " + ", ".join(f"strftime(o_orderdate, '%{c}') AS f_{i}" for i, c in enumerate(STRFTIME)) + ", '% it''s [' || strftime(o_orderdate, '%Y-%m-%d] %H:%M:%S ') || lpad(day(o_orderdate)::varchar, 2, ' ') AS mixed FROM orders"),
+    "clock_now": ("SELECT CASE WHEN NOW() >= '2026-01-01' AND NOW() < '2100-01-01' THEN 'now' END AS n, CURRENT_DATE || '' = STRFTIME('%Y-%m-%d', NOW()) AS same, LENGTH(CURRENT_DATE) AS size FROM region", "SELECT 'now' AS n, TRUE AS same, 10::bigint AS size FROM region"),
+    "boolean_in_arithmetic": ("SELECT k, big + 1 AS a, -big AS m, big * k AS p, CASE big WHEN 1 THEN 'y' ELSE 'n' END AS c FROM (SELECT p_partkey AS k, p_size > 25 AS big FROM part) x WHERE big BETWEEN 0 AND 1 AND big IN (0, 1)",
+                              "SELECT p_partkey AS k, 1 + (p_size > 25)::bigint AS a, -(p_size > 25)::bigint AS m, (p_size > 25)::bigint * p_partkey AS p, CASE WHEN p_size > 25 THEN 'y' ELSE 'n' END AS c FROM part"),
+    "boolean_sums": ("SELECT s, SUM(big) AS n, AVG(big) AS a FROM (SELECT p_size AS s, p_retailprice > 1000 AS big FROM part) x GROUP BY s", "SELECT p_size AS s, SUM((p_retailprice > 1000)::bigint)::bigint AS n, AVG((p_retailprice > 1000)::bigint) AS a FROM part GROUP BY p_size"),
     "current_date_now": ("SELECT COUNT(*) AS n FROM region WHERE CURRENT_DATE >= '2020-01-01' AND NOW() > '2020-01-01'", "SELECT COUNT(*) AS n FROM region"),
 }
 
@@ -118,70 +128,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def insert_select_result(spark, sf_dir):
-    rows = run(spark, sf_dir, "SELECT s_suppkey + 1000000, s_name FROM supplier WHERE s_acctbal < 0")
-    return changes.inserted(_table(spark, sf_dir, "supplier"), rows, ["s_suppkey", "s_name"], {"s_acctbal": 1.5})
-
-
-def update_result(spark, sf_dir):
-    table = _table(spark, sf_dir, "supplier")
-    return changes.updated(table, {"s_acctbal": F.col("s_acctbal") + 100, "s_name": F.upper("s_name")}, F.nullif(F.col("s_nationkey"), F.lit(3)) > 5)
-
-
-def delete_result(spark, sf_dir):
-    return changes.deleted(_table(spark, sf_dir, "nation"), F.nullif(F.col("n_regionkey"), F.lit(1)) >= 2)
-
-
 def key_violations(spark, sf_dir):
     return changes.violations(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-def alter_add_default(spark, sf_dir):
-    return _table(spark, sf_dir, "region").withColumn("note", F.lit("new")).withColumnRenamed("r_name", "name")
-
-
-def drop_column(spark, sf_dir):
-    return _table(spark, sf_dir, "nation").drop("n_name")
-
-
-def canonical_encode(spark, sf_dir):
-    return changes.canonical_text(run(spark, sf_dir, "SELECT p_partkey, NULLIF(p_brand, 'Brand#11') AS b, p_name || ',\"' AS q, p_size FROM part"))
-
-
-def csv_roundtrip(spark, sf_dir):
-    """Nations written as a canonical file and scanned again. The file is the driver's, as all tables of a database are:
-    small ones."""
-    from ..sources.tables import Col, Schema, read_checked, encoded, replace_file
-
-    schema = Schema("nation", (Col("n_nationkey", "integer", key=True), Col("n_name", "text"), Col("n_regionkey", "integer")))
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "nation.csv"
-        rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").toLocalIterator()
-        replace_file(path, encoded((tuple(r) for r in rows), schema))
-        return spark.createDataFrame([tuple(row) for _, row in read_checked(path, schema)], "n_nationkey long, n_name string, n_regionkey long")
-
-
 def hourly_events(spark, sf_dir):
     return hourly(_table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
 FRAMES: dict[str, tuple[Callable, str]] = {
-    "insert_select_result": (insert_select_result, "SELECT * FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, NULL, 1.5 FROM supplier WHERE s_acctbal < 0"),
-    "update_result": (update_result, "SELECT s_suppkey, CASE WHEN s_nationkey > 5 THEN upper(s_name) ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey > 5 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier"),
-    "delete_result": (delete_result, "SELECT * FROM nation WHERE n_regionkey < 2"),
     "key_violations": (key_violations, "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1"),
-    "alter_add_default": (alter_add_default, "SELECT r_regionkey, r_name AS name, 'new' AS note FROM region"),
-    "drop_column": (drop_column, "SELECT n_nationkey, n_regionkey FROM nation"),
-    "canonical_encode": (canonical_encode, r"SELECT p_partkey || ',' || coalesce(nullif(p_brand, 'Brand#11'), '\N') || ',' || chr(34) || p_name || ',' || chr(34) || chr(34) || chr(34) || ',' || p_size AS line FROM part"),
-    "csv_roundtrip": (csv_roundtrip, "SELECT n_nationkey::bigint AS n_nationkey, n_name, n_regionkey::bigint AS n_regionkey FROM nation"),
     "hourly_events": (hourly_events, "SELECT date_trunc('hour', ts) AS hour, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2"),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, sf_dir, text=text: run(spark, sf_dir, text)) for name, (text, _) in SQL.items()}
-    return out | {name: f for name, (f, _) in FRAMES.items()}
+    return out | {name: f for name, (f, _) in FRAMES.items()} | engine.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: other or text for name, (text, other) in SQL.items()} | {name: text for name, (_, text) in FRAMES.items()}
+    return {name: other or text for name, (text, other) in SQL.items()} | {name: text for name, (_, text) in FRAMES.items()} | engine.oracle_sql()

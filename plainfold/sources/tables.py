@@ -1,4 +1,9 @@
-"""Tables as files: ``t.csv`` in canonical form and ``t.schema.yaml``; scan by Spark, atomic writes by the driver."""
+"""Tables as files: ``t.csv`` in canonical form and ``t.schema.yaml``; scan by Spark, atomic writes by the driver.
+
+A file is scanned in pieces of ``SPLIT`` bytes, one a task. Where records begin hangs on the quotes before, so a first job
+counts each piece's quotes and line ends under both assumptions, and the driver, which gets a row a piece, sums them up.
+Spark's own reader isn't used: it turns line ends within fields into others, doesn't tell the line of a bad record, and
+leaves columns unread that nobody asked for, and with them what is wrong in them."""
 
 from __future__ import annotations
 
@@ -7,23 +12,25 @@ import io
 import os
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataError, IntegrityError, OperationalError, ProgrammingError
-from ..values import DECLARED, SPARK, checked, decoded, field, parsed
+from ..values import DECLARED, NULL, SPARK, checked, field, parsed
 
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 ROWID = "_rowid_"
-#: What Spark's reader is told means null; it stands for an empty field, as no field holds it.
-ABSENT = "\u0001\u0002__absent__\u0002\u0001"
+SPLIT = 1 << 24  #: bytes of a file that one task reads
+BATCH = 10_000  #: records that are passed on at once
 
 
 def identifier(name: str) -> str:
@@ -104,34 +111,49 @@ class Schema:
 
     @staticmethod
     def load(text: str, source: str = "schema") -> Schema:
-        def need(ok: bool, what: str) -> None:
-            if not ok:
-                raise OperationalError(f"{source}: {what}")
-
         try:
             data = yaml.safe_load(text)
-        except yaml.YAMLError as exc:
-            raise OperationalError(f"{source}: invalid YAML: {exc}") from exc
-        need(isinstance(data, dict), "not a mapping")
-        need(data.get("version") == 1, f"unsupported version {data.get('version')!r}")
-        need(isinstance(data.get("table"), str), "no table name")
-        need(isinstance(data.get("columns"), list), "no list of columns")
-        columns = []
-        for c in data["columns"]:
-            need(isinstance(c, dict), "a column isn't a mapping")
-            extra = set(c) - {"name", "type", "nullable", "primary_key", "default"}
-            need(not extra, f"unknown column keys {sorted(extra)}")
-            need(isinstance(c.get("name"), str) and c.get("type") in set(DECLARED.values()), f"bad column {c!r}")
-            default = c.get("default")
-            if default is not None and c["type"] in ("date", "datetime") and not isinstance(default, str):
-                default = default.isoformat(*([" "] if c["type"] == "datetime" else []))
-            columns.append(Col(c["name"], c["type"], bool(c.get("nullable", True)), bool(c.get("primary_key", False)), default))
-        try:
+            columns = [Col(**_conforming(c, _OF_COLUMN)) for c in _conforming(data, _OF_TABLE)["columns"]]
             return Schema(data["table"], tuple(columns))
-        except ProgrammingError as exc:
+        except yaml.YAMLError as exc:
+            raise OperationalError(f"{source} can't be read as YAML: {exc}") from exc
+        except (ProgrammingError, DataError) as exc:
             raise OperationalError(f"{source}: {exc}") from exc
 
 
+#: What a schema file holds: key, attribute that it becomes, test, whether it must be there.
+_OF_TABLE = (
+    ("version", "version", lambda v: v == 1, True),
+    ("table", "table", lambda v: isinstance(v, str), True),
+    ("columns", "columns", lambda v: isinstance(v, list), True),
+    ("null_marker", "null_marker", lambda v: True, False),
+)
+_OF_COLUMN = (
+    ("name", "name", lambda v: isinstance(v, str), True),
+    ("type", "kind", lambda v: v in set(DECLARED.values()), True),
+    ("nullable", "nullable", lambda v: v in (True, False), False),
+    ("primary_key", "key", lambda v: v in (True, False), False),
+    ("default", "default", lambda v: True, False),
+)
+
+
+def _conforming(given: Any, rules: tuple) -> dict[str, Any]:
+    """The mapping by attribute. Raises DataError where a rule doesn't hold; columns may have no other keys."""
+    if not isinstance(given, dict):
+        raise DataError(f"{given!r} should be a mapping")
+    if rules is _OF_COLUMN and (more := sorted(map(str, set(given) - {key for key, *_ in rules}))):
+        raise DataError(f"a column has no such keys: {', '.join(more)}")
+    out = {}
+    for key, attribute, holds, needed in rules:
+        if key in given and holds(given[key]):
+            out[attribute] = given[key]
+        elif key in given or needed:
+            raise DataError(f"{key} is {given.get(key)!r} in {given!r}" if key in given else f"{key} is missing from {given!r}")
+    if out.get("default") is not None and out.get("kind") in ("date", "datetime") and not isinstance(out["default"], str):
+        out["default"] = out["default"].isoformat(*([" "] if out["kind"] == "datetime" else []))
+    return out
+
+
 def _quoted(text: str, alone: bool) -> str:
     if re.search(r'[,"\r\n]', text) or alone and not text:
         return '"' + text.replace('"', '""') + '"'
@@ -147,8 +169,8 @@ def encoded(rows: Iterable, schema: Schema) -> Iterable[str]:
         yield ",".join(_quoted(field(k, v), alone) for k, v in zip(kinds, row, strict=True)) + "\n"
 
 
-def replace_file(path: Path, parts: Iterable[str]) -> None:
-    """Write beside the target, sync, and take its place: readers see the old or the new file."""
+def prepared(path: Path, parts: Iterable[str]) -> Path:
+    """A synced file beside ``path`` that may take its place; nothing is left where ``parts`` fails."""
     fd, temp = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
         with os.fdopen(fd, "w", encoding="utf-8", newline="") as out:
@@ -157,66 +179,155 @@ def replace_file(path: Path, parts: Iterable[str]) -> None:
             out.flush()
             os.fsync(out.fileno())
         os.chmod(temp, 0o644)
-        os.replace(temp, path)
-        folder = os.open(path.parent, os.O_RDONLY)
-        try:
-            os.fsync(folder)
-        finally:
-            os.close(folder)
     except BaseException:
         Path(temp).unlink(missing_ok=True)
         raise
+    return Path(temp)
+
+
+def place(temp: Path, path: Path) -> None:
+    """``temp`` becomes ``path``: readers see the old or the new file."""
+    try:
+        os.replace(temp, path)
+    except BaseException:
+        temp.unlink(missing_ok=True)
+        raise
+    folder = os.open(path.parent, os.O_RDONLY)
+    try:
+        os.fsync(folder)
+    finally:
+        os.close(folder)
+
+
+def replace_file(path: Path, parts: Iterable[str], held: AbstractContextManager | None = None) -> None:
+    """Write beside the target and take its place; ``held`` is entered for the latter alone."""
+    temp = prepared(path, parts)
+    with held or nullcontext():
+        place(temp, path)
 
 
 def read_checked(path: Path, schema: Schema) -> Iterable[tuple[int, list]]:
     """Record number (the header is 1) and values, row by row on the driver; errors name line and column."""
-    with path.open(encoding="utf-8", newline="") as f:
-        reader = csv.reader(f, strict=True)
-        header = next(reader, None)
-        if header is None:
-            raise OperationalError(f"{path.name}: the file is empty, even of a header")
-        if header != schema.names:
-            raise OperationalError(f"{path.name}: header {header} isn't {schema.names}")
+    head = _head(path, path.name, schema)
+    with path.open("rb") as f:
+        f.seek(head)
+        for first, records in _records(io.TextIOWrapper(f, encoding="utf-8", newline=""), 2, path.name, schema):
+            columns = [_decoded(c, [r[i] for r in records], first, path.name).to_pylist() for i, c in enumerate(schema.columns)]
+            yield from ((first + i, list(row)) for i, row in enumerate(zip(*columns, strict=True)))
+
+
+def _head(path: Path, name: str, schema: Schema) -> int:
+    """Bytes of the header, which must name the schema's columns."""
+    with path.open("rb") as f:
+        line = f.readline()
+    if not line:
+        raise OperationalError(f"{name}: the file is empty, even of a header")
+    try:
+        header = next(csv.reader(io.StringIO(line.decode("utf-8"), newline="")), [])
+    except (UnicodeDecodeError, csv.Error) as exc:
+        raise OperationalError(f"{name}: header: {exc}") from exc
+    if header != schema.names:
+        raise OperationalError(f"{name}: header {header} isn't {schema.names}")
+    return len(line)
+
+
+def _records(text: Iterable[str], first: int, name: str, schema: Schema) -> Iterator[tuple[int, list[list[str]]]]:
+    """Batches of records, each with the number of its first one."""
+    out: list[list[str]] = []
+    try:
+        for record in csv.reader(text, strict=True):
+            if len(record) != len(schema.columns):
+                raise OperationalError(f"{name}: line {first + len(out)}: {len(record)} fields, expected {len(schema.columns)}")
+            out.append(record)
+            if len(out) == BATCH:
+                yield first, out
+                first, out = first + BATCH, []
+    except csv.Error as exc:
+        raise OperationalError(f"{name}: line {first + len(out)}: {exc}") from exc
+    except UnicodeDecodeError as exc:
+        raise OperationalError(f"{name}: after line {first + len(out) - 1}: {exc}") from exc
+    if out:
+        yield first, out
+
+
+_ARROW = {"integer": pa.int64(), "real": pa.float64(), "boolean": pa.bool_()}
+
+
+def _decoded(c: Col, texts: list[str], first: int, name: str) -> pa.Array:
+    """The fields' values; Arrow casts numbers, and where it refuses, they are gone through one by one."""
+    kind = _ARROW.get(c.kind, pa.string())
+    if c.kind in ("integer", "real"):
+        try:
+            return pa.array([None if t == NULL else t for t in texts], pa.string()).cast(kind)
+        except pa.ArrowInvalid:
+            pass
+    out = []
+    for i, t in enumerate(texts):
         try:
-            for line, record in enumerate(reader, start=2):
-                if len(record) != len(schema.columns):
-                    raise OperationalError(f"{path.name}: line {line}: {len(record)} fields, expected {len(schema.columns)}")
-                row = []
-                for c, text in zip(schema.columns, record, strict=True):
-                    try:
-                        row.append(parsed(c.kind, text))
-                    except DataError as exc:
-                        raise OperationalError(f"{path.name}: line {line}, column {c.name}: {exc}") from exc
-                yield line, row
-        except csv.Error as exc:
-            raise OperationalError(f"{path.name}: {exc}") from exc
-
-
-def _check_head(path: Path, schema: Schema) -> None:
-    """What Spark's reader doesn't tell: an empty file, another header, blank lines between records."""
-    want = ",".join(schema.names)
-    with path.open(encoding="utf-8", newline="") as f:
-        first = f.readline()
-    if not first:
-        raise OperationalError(f"{path.name}: the file is empty, even of a header")
-    if next(csv.reader(io.StringIO(first)), []) != schema.names:
-        raise OperationalError(f"{path.name}: header {first.strip()!r} isn't {want!r}")
-
-
-def scan(spark: SparkSession, path: Path, schema: Schema) -> DataFrame:
-    """The table with ``_rowid_``, its place in the file. The reader takes all fields as text; types are decoded by
-    expressions, so columns that aren't asked for are pruned."""
-    _check_head(path, schema)
-    raw = T.StructType([T.StructField(c.name, T.StringType()) for c in schema.columns])
-    df = spark.read.schema(raw).csv(
-        str(path), header=True, multiLine=True, escape='"', quote='"', mode="FAILFAST", enforceSchema=False, nullValue=ABSENT, emptyValue="", encoding="UTF-8"
-    )
-    df = df.withColumn(ROWID, F.monotonically_increasing_id())
-    columns = []
-    for c in schema.columns:
-        where = F.concat(F.lit(f"{path.name}: line "), (F.col(ROWID) + 2).cast("string"), F.lit(f", column {c.name}"))
-        columns.append(decoded(c.kind, F.col(c.name), where).alias(c.name))
-    return df.select(ROWID, *columns)
+            out.append(parsed(c.kind, t))
+        except DataError as exc:
+            raise OperationalError(f"{name}: line {first + i}, column {c.name!r}: {exc}") from exc
+    return pa.array(out, kind)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], path: str, head: int, split: int) -> Iterator[pa.RecordBatch]:
+    """i, quotes of the piece, and by whether a quote is open where it begins: line ends of records and where the first
+    record begins (-1: nowhere in it)."""
+    for batch in batches:
+        for i in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                f.seek(head + i * split)
+                buf = np.frombuffer(f.read(split), np.uint8)
+            inside = np.cumsum(buf == 0x22) & 1
+            ends = buf == 0x0A
+            row = {"i": [i], "quotes": [int((buf == 0x22).sum())]}
+            for open_ in (0, 1):
+                at = np.flatnonzero(ends & (inside == open_))
+                row |= {f"n{open_}": [len(at)], f"first{open_}": [head + i * split + int(at[0]) + 1 if len(at) else -1]}
+            yield pa.record_batch(row)
+
+
+def _pieces(spark: SparkSession, path: Path, head: int) -> list[tuple[int, int, int]]:
+    """Begin, end and number of the first record of each piece."""
+    size = path.stat().st_size
+    n = -(-(size - head) // SPLIT)
+    if n <= 1:
+        return [(head, size, 2)]
+    split = SPLIT
+    found = spark.range(0, n, 1, n).mapInArrow(lambda b: _counted(b, str(path), head, split), "i long, quotes long, n0 long, first0 long, n1 long, first1 long")
+    begins, open_, record = [(head, 2)], 0, 2
+    for row in sorted(found.collect()):
+        at, count = row[f"first{open_}"], row[f"n{open_}"]
+        if row["i"] and at >= 0:
+            begins.append((at, record + 1))
+        record += count
+        open_ ^= row["quotes"] & 1
+    ends = [*(at for at, _ in begins[1:]), size]
+    return [(at, end, record) for (at, record), end in zip(begins, ends, strict=True) if at < end]
+
+
+def _read(batches: Iterator[pa.RecordBatch], path: str, name: str, schema: Schema, pieces: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in batch.column(0).to_pylist():
+            at, end, record = pieces[i]
+            with open(path, "rb") as f:
+                f.seek(at)
+                raw = f.read(end - at)
+            text = io.TextIOWrapper(io.BytesIO(raw), encoding="utf-8", newline="")
+            for first, records in _records(text, record, name, schema):
+                rows = pa.array(np.arange(first - 2, first - 2 + len(records)))
+                yield pa.record_batch([rows, *(_decoded(c, [r[j] for r in records], first, name) for j, c in enumerate(schema.columns))], [ROWID, *schema.names])
+
+
+def scan(spark: SparkSession, path: Path, schema: Schema, name: str | None = None) -> DataFrame:
+    """The table with ``_rowid_``, its place in the file. All fields of all records are checked, whatever is asked for.
+    ``name``: the file's name in messages."""
+    path = path.resolve()
+    name = name or path.name
+    pieces = _pieces(spark, path, _head(path, name, schema))
+    kinds = ", ".join([f"{ROWID} long", *(f"`{c.name}` {SPARK[c.kind].simpleString()}" for c in schema.columns)])
+    n = max(1, len(pieces))
+    return spark.range(0, len(pieces), 1, n).mapInArrow(lambda b: _read(b, str(path), name, schema, pieces), kinds)
 
 
 def renamed(schema: Schema, table: str) -> Schema:

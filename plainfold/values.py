@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from datetime import date, datetime
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import DataError, NotSupportedError
@@ -95,23 +93,3 @@ def parsed(kind: str, text: str):
             raise DataError(f"not a boolean: {text!r}")
         return text == "true"
     return checked(kind, text)
-
-
-def decoded(kind: str, raw: Column, where: Column) -> Column:
-    """The value of the field ``raw`` (null: empty) as an expression, an error that names ``where`` if there is none."""
-    text = F.coalesce(raw, F.lit(""))
-    text = F.when(text.rlike(r"^\\\\+N$"), F.substring(text, 2, 1 << 30)).otherwise(text)
-    value: Column = text
-    if kind == "integer":
-        value = F.expr("1")
-        value = F.regexp_replace(F.trim(text), "(?<=[0-9])_(?=[0-9])", "").try_cast("bigint")
-    elif kind == "real":
-        value = F.regexp_replace(F.trim(text), "(?<=[0-9])_(?=[0-9])", "").try_cast("double")
-    elif kind == "boolean":
-        value = F.when(text == "true", True).when(text == "false", False)
-    elif kind == "date":
-        value = F.when(text.try_cast("date").isNotNull(), text)
-    elif kind == "datetime":
-        value = F.when(F.replace(text, F.lit("T"), F.lit(" ")).try_cast("timestamp").isNotNull(), text)
-    bad = F.raise_error(F.concat(where, F.lit(f": not a valid {kind}: "), text)).cast(SPARK[kind])
-    return F.when(raw == NULL, F.lit(None).cast(SPARK[kind])).otherwise(value if kind == "text" else F.coalesce(value, bad))

@@ -230,3 +230,106 @@ def test_checker_and_paths(conn):
     for name in ("../x", "a b", "1a", ""):
         with pytest.raises(ProgrammingError):
             tables.identifier(name)
+
+
+def test_readers_do_not_wait_for_a_long_write(conn, spark, monkeypatch):
+    """A write that takes longer than the reader's timeout, while the reader asks."""
+    import threading
+
+    conn.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v INT)")
+    conn.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
+    other, began, over = connect(conn.catalog.root, spark=spark, timeout=0.1), threading.Event(), threading.Event()
+    real = type(conn)._checked
+
+    def slow(self, df, schema):
+        began.set()
+        assert over.wait(60)
+        yield from real(self, df, schema)
+
+    monkeypatch.setattr(type(conn), "_checked", slow)
+    writer = threading.Thread(target=conn.execute, args=("UPDATE t SET v = 9",))
+    writer.start()
+    assert began.wait(60)
+    lazy = other.sql("SELECT v FROM t")
+    assert rows(other) == [(1, 1), (2, 2)]
+    with pytest.raises(OperationalError):  # but a second writer does
+        other.execute("DELETE FROM t")
+    over.set()
+    writer.join()
+    assert rows(other) == [(1, 9), (2, 9)]
+    assert sorted(r.v for r in lazy.collect()) == [1, 2]  # as the table was when it was asked for
+
+
+def test_a_pending_journal_is_replayed_before_lazy_queries(conn, spark):
+    conn.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    other = connect(conn.catalog.root, spark=spark)
+    conn.catalog.journal.write_text(json.dumps({"version": 1, "files": {"t": "id\n7\n"}}))
+    assert [r.id for r in other.sql("SELECT * FROM t").collect()] == [7] and not conn.catalog.journal.exists()
+
+
+def test_a_commit_broken_off_is_finished_by_another_process_of_files(conn, spark, monkeypatch):
+    """What a transaction staged lies in files, and stays until the journal that names them has been replayed."""
+    conn.execute("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    conn.execute("BEGIN")
+    for i in range(3):
+        conn.execute("INSERT INTO t VALUES (?)", [i])
+    assert len(list(conn.scratch.root.glob("*-t.csv"))) == 1
+    monkeypatch.setattr(type(conn.catalog), "replay", lambda self: (_ for _ in ()).throw(OSError("crash")))
+    with pytest.raises(OSError):
+        conn.commit()
+    conn.close()
+    monkeypatch.undo()
+    with connect(conn.catalog.root, spark=spark) as other:
+        assert rows(other) == [(0,), (1,), (2,)]
+    assert not list((conn.catalog.root / ".plainfold").glob("journal*"))
+
+
+@pytest.mark.parametrize("text, told", [
+    ("id,n\n1,x\n2\n", "t.csv: line 3: 1 fields, expected 2"), ("id,n\n1,x\n\n2,y\n", "t.csv: line 3: 0 fields, expected 2"), ("id,n\n1,x,y\n", "t.csv: line 2: 3 fields, expected 2"), ("id,n\nabc,x\n", "t.csv: line 2, column 'id': not an integer: 'abc'"),
+    ("id,n\n1,\"x\n", "t.csv: line 2: "), ("id,m\n1,x\n", "t.csv: header ['id', 'm'] isn't ['id', 'n']"), ("", "t.csv: the file is empty, even of a header"),
+])
+def test_bad_records_are_told_by_line_whatever_is_asked(conn, text, told):
+    conn.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n TEXT)")
+    conn.catalog.csv("t").write_text(text)
+    for sql in ("SELECT * FROM t", "SELECT COUNT(*) FROM t", "SELECT n FROM t WHERE n = 'z'", "DELETE FROM t"):
+        with pytest.raises(OperationalError) as exc:
+            conn.execute(sql)
+        assert told in str(exc.value)
+    assert conn.catalog.csv("t").read_text() == text
+
+
+def test_line_ends_within_fields_stay(conn):
+    conn.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n TEXT)")
+    conn.catalog.csv("t").write_bytes(b'id,n\r\n1,"x\r\ny"\r\n2,"p\nq"\r\n')
+    assert rows(conn) == [(1, "x\r\ny"), (2, "p\nq")]
+    conn.execute("INSERT INTO t VALUES (3, 'z')")
+    assert conn.catalog.csv("t").read_bytes() == b'id,n\n1,"x\r\ny"\n2,"p\nq"\n3,z\n'
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1000])
+def test_files_are_scanned_in_pieces(spark, tmp_path, monkeypatch, split):
+    schema = Schema("t", (Col("n", "integer"), Col("s", "text")))
+    data = [(i, AWKWARD[i % len(AWKWARD)] * (1 + i % 3)) for i in range(60)]
+    path = tmp_path / "t.csv"
+    replace_file(path, encoded(data, schema))
+    monkeypatch.setattr(tables, "SPLIT", split if split > 1 else 200)
+    df = scan(spark, path, schema)
+    assert [tuple(r)[1:] for r in df.orderBy("_rowid_").collect()] == data
+    assert [r[0] for r in df.orderBy("_rowid_").select("_rowid_").collect()] == list(range(60))
+    replace_file(path, [*encoded(data, schema), "x,y\n"])
+    with pytest.raises(Exception, match="line 62, column 'n'"):
+        scan(spark, path, schema).collect()
+
+
+def test_values_of_queries_are_checked_as_constants_are(conn):
+    conn.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, b BOOLEAN, d DATE, ts DATETIME, s TEXT NOT NULL DEFAULT 'x')")
+    conn.execute("INSERT INTO t (id, b, d, ts) SELECT 1, 1, '2020-02-29', '2020-02-29T01:02:03.5'")
+    conn.execute("INSERT INTO t (id, d, ts) SELECT 2, CAST('2020-01-01' AS DATE), CAST('2020-01-01 10:00:00' AS DATETIME)")
+    assert rows(conn) == [(1, True, "2020-02-29", "2020-02-29T01:02:03.5", "x"), (2, None, "2020-01-01", "2020-01-01 10:00:00", "x")]
+    for sql, error in [
+        ("INSERT INTO t (id, b) SELECT 3, 2", DataError), ("INSERT INTO t (id, d) SELECT 3, '2021-02-29'", DataError), ("INSERT INTO t (id, ts) SELECT 3, 'noon'", DataError), ("INSERT INTO t (id, s) SELECT 3, NULL", IntegrityError),
+        ("INSERT INTO t (id, d) SELECT 3, 5", DataError), ("UPDATE t SET d = s", DataError), ("UPDATE t SET s = NULLIF(s, 'x')", IntegrityError), ("UPDATE t SET id = 1.5", DataError), ("INSERT INTO t (id) SELECT 1", IntegrityError), ("INSERT INTO t (id) SELECT 3, 4", ProgrammingError),
+    ]:
+        with pytest.raises(error):
+            conn.execute(sql)
+    assert len(rows(conn)) == 2
