@@ -1,5 +1,7 @@
 """Cases that go through a connection, against DuckDB; the driver runs all of them over larger tables."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 
@@ -41,11 +43,11 @@ def test_folders_of_dead_processes_go(spark, tmp_path):
     assert not dead.exists() and mine.exists()
 
 
-def test_a_database_must_be_where_files_can_be_locked(spark):
-    was = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "s3://bucket/x")
-    try:
+def test_a_database_must_be_where_files_can_be_locked():
+    def session(root, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: root), sparkContext=SimpleNamespace(master=master))
+
+    for root, master in (("s3://bucket/x", "local[4]"), (None, "yarn")):
         with pytest.raises(ValueError):
-            engine.folder(spark)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if was is None else spark.conf.set("spark.checkpoint.dir", was)
+            engine.folder(session(root, master))
+    assert engine.folder(session(None, "local[4]")).is_dir()
