@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    root = tempfile.mkdtemp(prefix="plainfold-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def work(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share. Where that is unset, a temporary folder is
-    set, but only if driver and executors are one process: elsewhere each machine would write to its own disk.
+    """A new folder below ``spark.checkpoint.dir``, which all executors share. Where that is unset, it is a temporary one,
+    but only if driver and executors are one process: elsewhere each machine would write to its own disk.
 
     The folder goes when the application ends, by whatever store it lies in; results that are to stay must be written."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +39,7 @@ def work(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="plainfold-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     out = f"{root.rstrip('/')}/plainfold-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -58,11 +64,13 @@ def one_per_id(df: DataFrame, key: str, *cols: str) -> DataFrame:
 
     Rows without an id name nothing and take no part. Rows that repeat an id count once: the one with the
     greatest ``cols`` stays. The ids are counted first, in a job that reads only them; tables whose ids are
-    unique, as they should be, aren't shuffled."""
+    unique, as they should be, aren't shuffled, and else only the rows of repeated ids are compared."""
     df = df.select(key, *quoted(cols)).where(F.col(key).isNotNull())
-    if df.groupBy(key).count().where("count > 1").isEmpty():
+    twice = df.groupBy(key).count().where("count > 1").select(key)
+    if twice.isEmpty():
         return df
-    return df.groupBy(key).agg(F.max(F.struct(*quoted(cols))).alias("_row")).select(key, *(F.col("_row")[c].alias(c) for c in cols))
+    most = df.join(twice, key, "left_semi").groupBy(key).agg(F.max(F.struct(*quoted(cols) or [F.lit(0)])).alias("_row"))
+    return df.join(twice, key, "left_anti").unionByName(most.select(key, *(F.col("_row")[c].alias(c) for c in cols)))
 
 
 # Words and hashes, vectorised ------------------------------------------------------------------------------------

@@ -9,6 +9,9 @@ left (less than a block), so that the words taken are the target, rounded.
 Hot sources: no window has a whole source. Documents are summed in buckets of the shuffled order (about
 ``bucket_rows`` each), slots in runs of steps; only the sums of those meet in one window.
 
+The sources themselves, one row each, are ranked and summed up in one task: some millions of them fit, as their names are
+all that's sorted; more would need ranks by ranges.
+
 Defined results: null texts have size 0; a null source is a source of its own, last in order; a repeated id counts
 once and rows without id take no part (``one_per_id``); where all sizes are 0, nothing is taken. Other columns
 aren't read. The order of a source's documents is that of md5(seed, doc_id), so reruns agree.

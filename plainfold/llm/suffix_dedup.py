@@ -20,7 +20,6 @@ gives an empty result. Other columns aren't read. Positions and order are by (do
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -359,7 +358,3 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100) -> DataFrame:
     late = repeats(docs, at, length).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("late"))
     whole = docs.mapInArrow(packed, docs.schema).join(late, "doc_id", "left")
     return whole.mapInArrow(lambda b: _keep(b, length), "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, end: long>>")
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
