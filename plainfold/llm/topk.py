@@ -7,11 +7,11 @@ all vectors, which stay where they are read.
 1. Each task gathers, from the first ``head`` entries that it reads, the k best scores. The k-th best over all tasks is a
    floor that the k-th best score can't be under, as it is one of any part of the vectors.
 2. The floor over the number of lists is a safe cutoff: a score that reaches the floor has a part that reaches the cutoff.
-   It is broadcast with the queries. A part is at most the product of both parts' lengths, so each list is gone down in
-   order of length and left where no query's cutoff can be reached any more; entries that reach it are collected. A
-   task's own k best raise its floor as it goes on.
-3. The scores of the entries collected are resolved exactly, entries below the floor go, and the k best stay, first in
-   each task, then overall.
+   It is broadcast with the queries. Tasks go through the lists and collect the entries that reach it in any list; entries
+   that can't any more, as parts are at most the product of both parts' lengths, are left. A task's own k best raise its
+   floor as it goes on.
+3. The remaining parts of the entries collected are resolved, as long as what is known and the lengths of the rest may
+   reach the floor; the k best stay, first in each task, then overall.
 
 Components are floor(scale * x), from the value as a double; scores are integer inner products, computed in doubles where
 these are exact and in Python's integers beyond. Ties go to the smaller id. Defined results: vectors that are null or hold
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import one_per_id, save, work
 
 EXACT = float(1 << 53)
-ROWS = 2048  #: vectors that are multiplied at once
+ROWS = 512  #: vectors that are multiplied at once; the next ones meet the floor that these have raised
+SPARSE = 8  #: share of pairs, one in so many, from which they are multiplied one by one
 SLACK = 1 + 1e-9  #: of lengths, which are rounded
 FOUND = "query_id long, vec_id long, score long"
 
@@ -70,13 +71,19 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _below(score) -> float:
+    """The greatest double that isn't over the score."""
+    f = float(score)
+    return f if f <= int(score) else float(np.nextafter(f, -np.inf))
+
+
 class Best:
     """The k best entries of each query so far, and the number of products that it took to find them."""
 
     def __init__(self, q_ids: np.ndarray, k: int, floor: list | None = None):
         self.q_ids, self.k, self.products = q_ids, k, 0
         self.kept = [(np.zeros(0, np.int64), np.zeros(0, object)) for _ in q_ids]
-        self.floor = np.array([-np.inf if f is None else float(f) for f in floor or [None] * len(q_ids)])
+        self.floor = np.array([-np.inf if f is None else _below(f) for f in floor or [None] * len(q_ids)])
 
     def take(self, ids: np.ndarray, row: np.ndarray, col: np.ndarray, score: np.ndarray) -> None:
         """Entries ``row`` of ``ids`` have ``score`` with the queries ``col``."""
@@ -91,7 +98,7 @@ class Best:
             best = np.lexsort((all_ids, -all_score))[: self.k]
             self.kept[j] = all_ids[best], all_score[best]
             if len(best) == self.k:
-                self.floor[j] = max(self.floor[j], float(all_score[best[-1]]))
+                self.floor[j] = max(self.floor[j], _below(all_score[best[-1]]))
 
     def batch(self) -> pa.RecordBatch:
         count = [len(x[0]) for x in self.kept]
@@ -106,34 +113,42 @@ class Best:
         self.products += x.size * len(q)
         self.take(ids, row, col, _product(x, q).ravel())
 
-    def collect(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, cuts: list[np.ndarray], lengths: np.ndarray) -> None:
-        """Phases 2 and 3 over some entries. ``lengths``: of the queries' parts, by list."""
-        cutoff = self.floor / len(cuts)
-        reach = np.zeros((len(ids), len(q)), bool)
-        for c, own in zip(cuts, lengths.T, strict=True):
-            part = x[:, c]
-            length = np.sqrt((part * part).sum(axis=1)) * SLACK
-            # The length from which an entry may reach each query's cutoff in this list; all may reach one of 0 or less.
-            least = np.where(cutoff > 0, cutoff / np.maximum(own * SLACK, 1e-300), -1.0)
-            order = np.argsort(-length, kind="stable")
-            queries = np.argsort(least, kind="stable")
-            down = np.searchsorted(-length[order], -least[queries], "right")  # how far each query goes down the list
-            for a in range(0, len(queries), 256):  # queries that go down about as far
-                these, to = queries[a : a + 256], int(down[a])
-                if to:
-                    rows = order[:to]
-                    score = part[rows] @ q[these][:, c].T
-                    self.products += to * len(these) * len(c)
-                    reach[np.ix_(rows, these)] |= score >= cutoff[these]
-        row, col = np.nonzero(reach)
-        if len(row) * 8 > len(ids) * len(q):  # so many that whole rows are cheaper
-            rows = np.flatnonzero(reach.any(axis=1))
-            self.products += len(rows) * q.size
-            score = (x[rows] @ q.T)[np.searchsorted(rows, row), col]
-        else:
-            self.products += len(row) * x.shape[1]
-            score = np.concatenate([np.einsum("ij,ij->i", x[row[i : i + 65536]], q[col[i : i + 65536]]) for i in range(0, max(1, len(row)), 65536)])
-        self.take(ids, row, col, score)
+    def collect(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, cuts: list[np.ndarray]) -> None:
+        """Phases 2 and 3 over some entries: list by list, pairs of an entry and a query stay while the parts known and the
+        lengths of those to come let them reach the cutoff in some list, and the floor in all."""
+        cutoff, floor = self.floor / len(cuts), self.floor
+        lx, lq = (np.stack([np.sqrt((m[:, c] ** 2).sum(axis=1)) * SLACK for c in cuts], axis=1) for m in (x, q))
+        # Of the lists from each one on: the length of all of them together, and of the longest.
+        whole_x, whole_q = (np.sqrt(np.cumsum((m**2)[:, ::-1], axis=1)[:, ::-1]) * SLACK for m in (lx, lq))
+        most_x, most_q = (np.maximum.accumulate(m[:, ::-1], axis=1)[:, ::-1] for m in (lx, lq))
+        total, reached, pairs = np.zeros((len(ids), len(q))), np.zeros((len(ids), len(q)), bool), None
+        for i, c in enumerate(cuts):
+            last = i + 1 == len(cuts)
+            if pairs is None:
+                part = x[:, c] @ q[:, c].T
+                self.products += part.size * len(c)
+                total += part
+                reached |= part >= cutoff
+                if last:
+                    stays = reached & (total >= floor)
+                else:
+                    stays = total + whole_x[:, i + 1, None] * whole_q[:, i + 1] >= floor
+                    stays &= reached | (most_x[:, i + 1, None] * most_q[:, i + 1] >= cutoff)
+                if last or stays.sum() * SPARSE <= stays.size:  # few enough to go on one by one
+                    row, col = np.nonzero(stays)
+                    pairs, score, sure = (row, col), total[row, col], reached[row, col]
+                continue
+            row, col = pairs
+            part = np.concatenate([np.einsum("ij,ij->i", x[row[j : j + 65536, None], c], q[col[j : j + 65536, None], c]) for j in range(0, max(1, len(row)), 65536)])
+            self.products += len(row) * len(c)
+            score, sure = score + part, sure | (part >= cutoff[col])
+            if last:
+                on = sure & (score >= floor[col])
+            else:
+                on = score + whole_x[row, i + 1] * whole_q[col, i + 1] >= floor[col]
+                on &= sure | (most_x[row, i + 1] * most_q[col, i + 1] >= cutoff[col])
+            pairs, score, sure = (row[on], col[on]), score[on], sure[on]
+        self.take(ids, *pairs, score)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], dims: int, scale: int):
@@ -162,7 +177,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], queries, floors, dims: int, sca
     cuts = np.array_split(np.arange(dims), lists)
     for ids, x in _blocks(batches, dims, scale):
         if _exact(x, q) and _exact(x, x) and _exact(q, q):
-            best.collect(ids, x, q, cuts, np.stack([np.sqrt((q[:, c] ** 2).sum(axis=1)) for c in cuts], axis=1))
+            best.collect(ids, x, q, cuts)
         else:
             best.all_of(ids, x, q)
     yield best.batch()
