@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, one_per_id, packed, prefix_hash, powers, save, signed, unpacker, work
+from .common import chunks, mix, one_per_id, packed, prefix_hash, powers, save, unpacker, work
 from .deep_shallow import suffix_order
 
 GRAM = 36
