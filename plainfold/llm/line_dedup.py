@@ -57,11 +57,12 @@ def _in_order(spark: SparkSession) -> Iterator[None]:
 
 
 class LineIndex:
-    """Runs by level below the folder ``at``; ``fanout`` of a level make one of the next, merged two by two. What runs there are is appended to a
-    small table beside them, a version for each change, so that a later call finds them."""
+    """Runs by level below the folder ``at``; ``fanout`` of a level make one of the next, merged two by two. What runs
+    there are is appended, if the index is ``kept``, to a small table beside them, a version for each change, so that a later
+    call finds them."""
 
-    def __init__(self, spark: SparkSession, at: str, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.at, self.fanout = spark, at, fanout
+    def __init__(self, spark: SparkSession, at: str, buckets: int | None = None, fanout: int = 2, kept: bool = True):
+        self.spark, self.at, self.fanout, self.kept = spark, at, fanout, kept
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
         self.version = 0
@@ -121,8 +122,14 @@ class LineIndex:
         return keys
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """The unseen keys, now a run themselves."""
+        """The unseen keys, now a run themselves. Levels that are full are compacted first, so never for nobody."""
+        self.compact()
         new = self._write(self.unseen(keys), 0)
+        if self.kept:
+            self._noted()
+        return new
+
+    def compact(self) -> None:
         for level, runs in enumerate(self.levels):  # grows meanwhile
             if len(runs) >= self.fanout:
                 self.levels[level] = []
@@ -131,8 +138,6 @@ class LineIndex:
                     self._write(self.merged(one, run), level + 1)
                     if i < len(more):  # on the way
                         _, one = self.levels[level + 1].pop()
-        self._noted()
-        return new
 
     @staticmethod
     def merged(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ class LineIndex:
         return both.select(*KEYS, F.coalesce("a", "b").alias("doc_id"))
 
 
-def line_dedup(docs: DataFrame, *, least: int = 10, batches: int | None = None, batch_bytes: int = 1 << 26, fanout: int = 2, index: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, *, least: int = 10, batches: int | None = None, batch_bytes: int = 1 << 27, fanout: int = 2, index: str | None = None) -> DataFrame:
     """doc_id, text of the lines kept, n_lines, n_dropped. Batches are ranges of doc_id, in order, so that the
     smallest document owns a key, but for those that an ``index`` of earlier calls has."""
     spark = docs.sparkSession
@@ -159,7 +164,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, batches: int | None = None,
         batches = min(16, max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // batch_bytes)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
-    runs, owned = LineIndex.open(spark, index, fanout) if index else LineIndex(spark, f"{at}/index", fanout=fanout), None
+    runs, owned = LineIndex.open(spark, index, fanout) if index else LineIndex(spark, f"{at}/index", fanout=fanout, kept=False), None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = keyed.where("h1 is not null")
         part = part if low is None else part.where(F.col("doc_id") > low)
