@@ -7,8 +7,9 @@ of a level are compacted into one of the next, by a merge join of their buckets,
 where its document owns its key, which is a join on document and key and so has no hot key either.
 
 An index may be kept and extended: ``line_dedup(docs, index=folder)`` drops lines that documents of earlier calls hold, and
-adds the keys of its own. Batches are of ``batch_bytes`` bytes of text, but at least 4 (so that levels fill up at any size) and at most 16, as each reads the
-table of line hashes (by ranges of ids, so that files of other ids are skipped where ids rise).
+adds the keys of its own. A call takes ``batches`` batches, so that each line is joined and rewritten as often at every size;
+None makes them of ``batch_bytes`` bytes of text, at most 16, which rewrites each line once for each level that they fill. Each
+batch reads the table of line hashes, by ranges of ids, so that files of other ids are skipped where ids rise.
 
 Defined results: a null text is one empty line; keys shorter than ``least`` code points always stay; a repeated id
 counts once and rows without id take no part (``one_per_id``); an empty table gives an empty result. Columns other
@@ -146,7 +147,7 @@ class LineIndex:
         return both.select(*KEYS, F.coalesce("a", "b").alias("doc_id"))
 
 
-def line_dedup(docs: DataFrame, *, least: int = 10, batches: int | None = None, batch_bytes: int = 1 << 27, fanout: int = 2, index: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, *, least: int = 10, batches: int | None = 4, batch_bytes: int = 1 << 27, fanout: int = 2, index: str | None = None) -> DataFrame:
     """doc_id, text of the lines kept, n_lines, n_dropped. Batches are ranges of doc_id, in order, so that the
     smallest document owns a key, but for those that an ``index`` of earlier calls has."""
     spark = docs.sparkSession
@@ -161,7 +162,7 @@ def line_dedup(docs: DataFrame, *, least: int = 10, batches: int | None = None,
     )
     keyed = save(keyed, at, "lines")
     if batches is None:
-        batches = min(16, max(4, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // batch_bytes)))
+        batches = min(16, max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // batch_bytes)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     runs, owned = LineIndex.open(spark, index, fanout) if index else LineIndex(spark, f"{at}/index", fanout=fanout, kept=False), None
